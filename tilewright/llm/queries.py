@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.common import table
-from tilewright.llm import packing, percentiles
+from tilewright.llm import leakage, packing, percentiles
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,11 +25,23 @@ def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the largest share held."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("share"), 6).alias("share"))
+
+
 QUERIES = {
     "p6_found": p6_found,
     "p6_percentiles": p6_percentiles,
     "p6_days_combined": p6_days_combined,
     "p7_packs": p7_packs,
+    "p8_found": p8_found,
+    "p8_leaked_items": p8_leaked_items,
 }
 
 _ATTEMPTS = """
