@@ -54,7 +54,7 @@ def document(raw: str | None, shape: Shape) -> dict | None:
             found = found.decode("utf-8", "replace")
         if isinstance(found, str):
             try:
-                found = json.loads(found.strip().lstrip("﻿").strip())
+                found = json.loads(found.strip().lstrip("\ufeff").strip())
             except (ValueError, RecursionError):
                 return None
         elif isinstance(found, dict):
