@@ -6,7 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.common import table
-from tilewright.llm import leakage, packing, percentiles
+from tilewright.llm import leakage, neighbours, packing, percentiles
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "patch_features").select("vec_id", F.col("encoder").alias("space"), "features")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d), 0.98).select("vec_id_a", "vec_id_b")
+
+
+#: Wide enough for a recall of 0.9 among vectors that are all much alike.
+_WIDE = neighbours.Settings(probes=24, ef=96)
+
+
+def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar vectors of every vector whose id is divisible by 100, with coords."""
+    near = neighbours.most_similar(_vectors(spark, d), 10, _WIDE, F.pmod("vec_id", F.lit(100)) == 0)
+    coords = table(spark, d, "patch_features").groupBy("vec_id").agg(F.first("coords").alias("coords"))
+    near = near.select("vec_id", "rank", "neighbour", F.round("similarity", 4).alias("similarity"))
+    return near.join(coords.select(F.col("vec_id").alias("neighbour"), "coords"), "neighbour")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +56,8 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_most_similar": p1_most_similar,
     "p6_found": p6_found,
     "p6_percentiles": p6_percentiles,
     "p6_days_combined": p6_days_combined,
@@ -50,6 +72,11 @@ counted AS (SELECT * FROM one WHERE reader_type <> '' AND NOT isnan(duration_s)
 """
 
 SQL = {
+    "p1_found": """
+WITH v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch_features WHERE len(features) = 64 AND encoder IS NOT NULL AND vec_id IS NOT NULL GROUP BY 1, 2),
+ok AS (SELECT vec_id, encoder, f::DOUBLE[64] AS f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM ok a JOIN ok b ON a.encoder = b.encoder AND a.vec_id < b.vec_id
+WHERE array_cosine_similarity(a.f, b.f) >= 0.98""",
     "p6_found": _ATTEMPTS
     + """, bound AS (SELECT reader_type, 5 * quantile_disc(duration_s, 0.99) AS bound FROM counted GROUP BY 1)
 SELECT attempt_id FROM counted JOIN bound USING (reader_type) WHERE duration_s > bound""",
