@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.common import table
-from tilewright.llm import leakage, neighbours, packing, percentiles
+from tilewright.llm import clusters, leakage, neighbours, packing, percentiles
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,14 @@ def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
     return near.join(coords.select(F.col("vec_id").alias("neighbour"), "coords"), "neighbour")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.groups(_vectors(spark, d))
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(_vectors(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.outliers(table(spark, d, "task_attempts"))
 
@@ -58,6 +66,8 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_most_similar": p1_most_similar,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p6_found": p6_found,
     "p6_percentiles": p6_percentiles,
     "p6_days_combined": p6_days_combined,
@@ -77,6 +87,12 @@ WITH v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch
 ok AS (SELECT vec_id, encoder, f::DOUBLE[64] AS f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0)
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM ok a JOIN ok b ON a.encoder = b.encoder AND a.vec_id < b.vec_id
 WHERE array_cosine_similarity(a.f, b.f) >= 0.98""",
+    "p2_found": """
+WITH RECURSIVE v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch_features WHERE len(features) = 64 AND encoder IS NOT NULL AND vec_id IS NOT NULL GROUP BY 1, 2),
+ok AS (SELECT vec_id, encoder, f::DOUBLE[64] AS f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0),
+-- groups are similar throughout, so the smallest similar id is the group's
+label AS (SELECT a.vec_id, min(b.vec_id) AS cluster_id FROM ok a JOIN ok b ON a.encoder = b.encoder AND array_cosine_similarity(a.f, b.f) >= 0.56 GROUP BY 1)
+SELECT vec_id, cluster_id FROM label QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 5""",
     "p6_found": _ATTEMPTS
     + """, bound AS (SELECT reader_type, 5 * quantile_disc(duration_s, 0.99) AS bound FROM counted GROUP BY 1)
 SELECT attempt_id FROM counted JOIN bound USING (reader_type) WHERE duration_s > bound""",
