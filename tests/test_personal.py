@@ -1,0 +1,36 @@
+"""Personal data is found at its place in the original text, however it is written."""
+
+import __spark_entry__
+from tilewright.llm import personal
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b in personal.spans(text)]
+
+
+def test_registered():
+    assert "p9_found" in __spark_entry__.queries()
+
+
+def test_hidden_emails_and_broken_lines():
+    text = "go to  a_b+court [at] inbox\n[dot] invalid or wil-\r\nma at tarn dot chambers dot example."
+    assert [t for _, t in kinds(text)] == ["a_b+court [at] inbox\n[dot] invalid", "wil-\r\nma at tarn dot chambers dot example"]
+
+
+def test_numbers_by_label_and_shape():
+    text = "gave her passport no. as 00232627830 and her telephone number as 030 23125 160; the caller used 555-0123 (069/90009690). Invoice 88-9231-1867, s. 12(3) at 020-5111, reference 0043-4395-9692."
+    assert kinds(text) == [("id_number", "00232627830"), ("phone", "030 23125 160"), ("phone", "555-0123"), ("phone", "069/90009690")]
+
+
+def test_addresses():
+    text = "found at Flat 25, 231 Tollgate's Rd, Eastmarch; wohnhaft Weidendammallee 49B, 00027 X; demeurant 202 bis, place de la Corderie."
+    assert [t for k, t in kinds(text) if k == "address"] == ["Flat 25, 231 Tollgate's Rd", "Weidendammallee 49B", "202 bis, place de la Corderie"]
+
+
+def test_names_without_title_and_not_in_citations():
+    text = "MS RUNE BROVELIK v Kirren Power plc\nBefore: Dr Zita Quillamaud, Mr X\nAccording to Jolvakova, Brita, see Vellumaud v Tolland Shipping [1979] 6 ZLR 1; Mrs T. and R. van der Ostrevez."
+    assert [t for _, t in kinds(text)] == ["RUNE BROVELIK", "Zita Quillamaud", "Jolvakova, Brita", "R. van der Ostrevez"]
+
+
+def test_placeholders():
+    assert personal.replaced("Mr Wexum, 020 7946 0633.") == "Mr [NAME], [PHONE]."

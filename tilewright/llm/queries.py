@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.common import table
-from tilewright.llm import clusters, leakage, neighbours, packing, percentiles
+from tilewright.llm import clusters, leakage, neighbours, packing, percentiles, personal
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,15 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("share"), 6).alias("share"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders for personal data."""
+    return personal.redacted(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_most_similar": p1_most_similar,
@@ -74,6 +83,8 @@ QUERIES = {
     "p7_packs": p7_packs,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _ATTEMPTS = """
