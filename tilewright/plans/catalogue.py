@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.plans import data
+from tilewright.plans import data, slides
 
-QUERIES = data.QUERIES
-SQL = data.SQL
+QUERIES = data.QUERIES | slides.QUERIES
+SQL = data.SQL | slides.SQL
