@@ -1,0 +1,22 @@
+"""Copies have the neighbours of their class."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tilewright.llm import neighbours
+from tilewright.session import session
+
+
+def test_copy_that_asks():
+    spark = session("local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false")
+    x = np.random.default_rng(1).normal(size=(30, 64)).astype(float)
+    rows = [(i, "a", x[i].tolist()) for i in range(1, 30)] + [(100, "a", x[7].tolist()), (31, "a", x[7].tolist())]
+    got = neighbours.most_similar(spark.createDataFrame(rows, "vec_id long, space string, features array<double>"), 3, neighbours.Settings(probes=32), queries=F.pmod("vec_id", F.lit(100)) == 0).collect()
+    mine = sorted((r["rank"], r["neighbour"]) for r in got if r["vec_id"] == 100)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit[7]
+    s[[0, 7]] = -2
+    assert mine == [(0, 7), *((i + 1, int(j)) for i, j in enumerate(np.argsort(-s)[:3]))]
+    assert [(r["rank"], r["neighbour"]) for r in got if r["vec_id"] == 31] == [(0, 7)]
+    assert not [r for r in got if r["vec_id"] == 7]
+

@@ -30,7 +30,9 @@ class Settings:
     """dim: elements of a valid vector. cell: vectors of a cell, on average. shard: vectors of a
     shard, at most. probes: cells that a vector meets, its own among them. ef: width of the
     beam. max_pivots bounds the sample; with it, cells grow beyond `cell` from cell * max_pivots
-    vectors on, and are spread over shards. block: searches of a task, at most."""
+    vectors on, and are spread over shards. block: searches of a task, at most. wide: share of the
+    pivots of its region that a searching vector meets, if these are more than `probes`; so the
+    recall doesn't fall as a region gets more cells."""
 
     dim: int = 64
     cell: int = 2048
@@ -39,6 +41,7 @@ class Settings:
     ef: int = 8
     max_pivots: int = 16384
     block: int = 32768
+    wide: float = 0.0
 
 
 def unit_rows(ids: pa.Array, spaces: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, list, np.ndarray]:
@@ -69,8 +72,34 @@ class Router:
     """Cells of vectors: the nearest pivots of their space. The cells of a space without pivot
     are one, -1."""
 
-    def __init__(self, pivots: dict[str, tuple[np.ndarray, np.ndarray]], probes: int):
-        self.pivots, self.probes = pivots, probes
+    def __init__(self, pivots: dict[str, tuple[np.ndarray, np.ndarray]], probes: int, wide: float = 0.0):
+        self.pivots, self.probes, self.wide = pivots, probes, wide
+
+    def some(self, space: str, x: np.ndarray, asks: np.ndarray) -> list[list[int]]:
+        """Cells to search of those that ask, and the own cell of the others."""
+        out: list = [None] * len(x)
+        for flag in (False, True):
+            at = np.nonzero(asks == flag)[0]
+            if len(at):
+                found = Router(self.pivots, self.probes if flag else 1).cells(space, x[at]).tolist()
+                if flag and self.wide and space in self.pivots:
+                    found = self._region(space, x[at])
+                for i, c in zip(at, found):
+                    out[i] = c
+        return out
+
+    def _region(self, space: str, x: np.ndarray) -> list[list[int]]:
+        """The nearest pivots: `probes`, or more in a region of many, which are those at least
+        half as similar as the nearest."""
+        numbers, base = self.pivots[space]
+        out = []
+        for at in range(0, len(x), 1024):
+            s = x[at : at + 1024] @ base.T
+            region = (s >= s.max(axis=1, keepdims=True) / 2).sum(axis=1)
+            p = np.minimum(np.maximum(self.probes, np.ceil(self.wide * region).astype(int)), len(numbers))
+            order = np.argsort(-s, axis=1, kind="stable")
+            out += [numbers[o[:n]].tolist() for o, n in zip(order, p)]
+        return out
 
     def cells(self, space: str, x: np.ndarray) -> np.ndarray:
         if space not in self.pivots:
@@ -86,18 +115,21 @@ class Router:
         return out
 
 
-ROUTED = "vec_id bigint, space string, key bigint, cells array<int>, code binary"
+ROUTED = "vec_id bigint, space string, key bigint, cells array<int>, code binary, asks boolean"
 
 
-def routed(vectors: DataFrame, settings: Settings, router: Router, with_code: bool) -> DataFrame:
+def routed(vectors: DataFrame, settings: Settings, router: Router, with_code: bool, queries: Column | None = None) -> DataFrame:
     """vectors (vec_id, space, features) -> the valid ones, with a key of their content, their
-    cells and, if asked for, their code."""
+    cells (only their own if `queries` doesn't hold for them) and, if asked for, their code."""
     given = vectors.sparkSession.sparkContext.broadcast(router)
     dim = settings.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             ids, spaces, x = unit_rows(batch.column(0), batch.column(1), batch.column(2), dim)
+            whole = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()))  # asks follows from the id
+            asking = np.array([bool(whole[i]) for i in ids.tolist()], dtype=bool)
             raw = x.astype(np.float16).tobytes()
             step = 2 * dim
             codes = [raw[i : i + step] for i in range(0, len(raw), step)]
@@ -106,14 +138,15 @@ def routed(vectors: DataFrame, settings: Settings, router: Router, with_code: bo
             names = np.array(spaces, dtype=object)
             for space in set(spaces):
                 at = np.nonzero(names == space)[0]
-                for i, c in zip(at, given.value.cells(space, x[at]).tolist()):
+                for i, c in zip(at, given.value.some(space, x[at], asking[at])):
                     cells[i] = c
             yield pa.record_batch(
-                [pa.array(ids), pa.array(spaces, pa.string()), pa.array(keys), pa.array(cells, pa.list_(pa.int32())), pa.array(codes if with_code else [None] * len(ids), pa.binary())],
-                names=["vec_id", "space", "key", "cells", "code"],
+                [pa.array(ids), pa.array(spaces, pa.string()), pa.array(keys), pa.array(cells, pa.list_(pa.int32())), pa.array(codes if with_code else [None] * len(ids), pa.binary()), pa.array(asking)],
+                names=["vec_id", "space", "key", "cells", "code", "asks"],
             )
 
-    return vectors.select("vec_id", "space", "features").mapInArrow(run, ROUTED)
+    asks = F.lit(True) if queries is None else queries
+    return vectors.select("vec_id", "space", "features", asks.alias("asks")).mapInArrow(run, ROUTED)
 
 
 def pivots(vectors: DataFrame, settings: Settings) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -146,13 +179,13 @@ class Index:
     loads: DataFrame
 
 
-def index(vectors: DataFrame, settings: Settings = Settings()) -> Index:
-    """vectors: vec_id, space, features."""
+def index(vectors: DataFrame, settings: Settings = Settings(), queries: Column | None = None) -> Index:
+    """vectors: vec_id, space, features. queries as in search()."""
     require(vectors, "vec_id", "space", "features")
-    router = Router(pivots(vectors, settings), settings.probes)
-    slim = routed(vectors, settings, router, False).drop("code")
+    router = Router(pivots(vectors, settings), settings.probes, settings.wide)
+    slim = routed(vectors, settings, router, False, queries).drop("code")
     classes = written(
-        slim.groupBy("space", "key").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count("*").alias("n"), F.first("cells").alias("cells")), "classes"
+        slim.groupBy("space", "key").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count("*").alias("n"), F.max_by("cells", F.size("cells")).alias("cells")), "classes"
     )
     met = classes.select("space", F.posexplode("cells").alias("rank", "cell"))
     loads = met.groupBy("space", "cell").agg(F.count_if(F.col("rank") == 0).alias("own"), F.count("*").alias("met"))
@@ -175,15 +208,14 @@ def search(ix: Index, k: int, at_least: float = -1.0, queries: Column | None = N
     condition on vec_id, holds) what its shards found: its k nearest in each, of at least the
     given similarity. A pair may come from several shards, and in either order."""
     s = ix.settings
-    rows = routed(ix.vectors, s, ix.router, True)
+    rows = routed(ix.vectors, s, ix.router, True, queries)
     repeated = ix.classes.where("n > 1").select("space", "key", "rep")
     if repeated.limit(SMALL + 1).count() <= SMALL:
         repeated = F.broadcast(repeated)
     rows = rows.join(repeated, ["space", "key"], "left")
-    again = rows.where("rep = vec_id").groupBy("space", "key", "vec_id").agg(F.first("cells").alias("cells"), F.first("code").alias("code"))
-    rows = rows.where("rep IS NULL").select("space", "key", "vec_id", "cells", "code").unionByName(again)
-    asks = F.lit(True) if queries is None else queries
-    rows = rows.withColumn("asks", asks)
+    # a class asks if any member does; its cells are those of a member that asks
+    again = rows.where("rep IS NOT NULL").groupBy("space", "key", F.col("rep").alias("vec_id")).agg(F.max_by("cells", F.size("cells")).alias("cells"), F.first("code").alias("code"), F.bool_or("asks").alias("asks"))
+    rows = rows.where("rep IS NULL").select("space", "key", "vec_id", "cells", "code", "asks").unionByName(again)
     spread = rows.select("space", "key", "vec_id", "code", "asks", F.posexplode("cells").alias("rank", "cell")).where("rank = 0 OR asks")
     spread = spread.join(F.broadcast(ix.loads), ["space", "cell"])  # at most one row per pivot and space
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
@@ -270,16 +302,23 @@ def most_similar(vectors: DataFrame, k: int = 10, settings: Settings = Settings(
     """(space, vec_id, rank, neighbour, similarity): the k most similar vectors of every vector,
     or of those for which `queries` holds; of equal similarities the smaller id first.
 
-    Copies of a vector: the one of smallest id is the representative and has the neighbours;
-    each of the others has one row, its representative at rank 0. Cases as in similar_pairs().
+    Copies of a vector form a class: a copy for which `queries` holds has the neighbours of its
+    representative, the one of smallest id; neighbours are representatives. Every other member
+    of a class that occurs, as the asking one or as a neighbour, has a row with its
+    representative at rank 0. Cases as in similar_pairs().
     """
-    ix = index(vectors, settings)
+    ix = index(vectors, settings, queries)
     found = search(ix, k, queries=queries).groupBy("space", "vec_id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = "row_number() OVER (PARTITION BY space, vec_id ORDER BY similarity DESC, neighbour)"
-    ranked = found.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("space", "vec_id", "rank", "neighbour", "similarity")
+    ranked = written(found.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("space", "vec_id", "rank", "neighbour", "similarity"), "ranked")
     several = ix.classes.where("last > rep").select("space", "key", "rep")
-    copies = routed(vectors, settings, Router({}, 1), False)
-    if queries is not None:
-        copies = copies.where(queries)
-    copies = copies.join(several, ["space", "key"]).where("vec_id <> rep").select("space", "vec_id", F.lit(0).alias("rank"), F.col("rep").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity")).distinct()
-    return ranked.unionByName(copies)
+    if several.isEmpty():
+        return ranked if queries is None else ranked.where(queries)
+    asks = F.lit(True) if queries is None else queries
+    members = routed(vectors, settings, Router({}, 1), False, queries).join(several, ["space", "key"]).select("space", "rep", "vec_id", "asks").distinct()
+    copies = written(members.where("vec_id <> rep"), "copies")
+    own = copies.where("asks").join(ranked.withColumnRenamed("vec_id", "rep"), ["space", "rep"]).select("space", "vec_id", "rank", "neighbour", "similarity")
+    met = ranked.where(asks).select("space", F.col("vec_id").alias("rep")).unionByName(own.select("space", F.col("neighbour").alias("rep")))
+    met = met.unionByName(ranked.where(asks).select("space", F.col("neighbour").alias("rep"))).unionByName(copies.where("asks").select("space", "rep")).distinct()
+    held = copies.join(met, ["space", "rep"]).select("space", "vec_id", F.lit(0).alias("rank"), F.col("rep").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
+    return ranked.where(asks).unionByName(own).unionByName(held)
