@@ -1,4 +1,4 @@
-"""Copies have the neighbours of their class."""
+"""Copies have the neighbours of their class; a large region is searched in proportion."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,3 +20,9 @@ def test_copy_that_asks():
     assert [(r["rank"], r["neighbour"]) for r in got if r["vec_id"] == 31] == [(0, 7)]
     assert not [r for r in got if r["vec_id"] == 7]
 
+
+def test_probes_follow_the_region():
+    base = np.ones((300, 64), dtype=np.float32) / 8
+    router = neighbours.Router({"a": (np.arange(300, dtype=np.int32), base)}, 24, 0.5)
+    cells = router.some("a", base[:2], np.array([True, False]))
+    assert len(cells[0]) == 150 and len(cells[1]) == 1

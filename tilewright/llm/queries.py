@@ -17,8 +17,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d), 0.98).select("vec_id_a", "vec_id_b")
 
 
-#: Wide enough for a recall of 0.9 among vectors that are all much alike.
-_WIDE = neighbours.Settings(probes=24, ef=96)
+#: At least 24 cells, and half of those of the query's region.
+_WIDE = neighbours.Settings(probes=24, ef=96, wide=0.5)
 
 
 def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
