@@ -1,0 +1,13 @@
+"""Half of an item in stretches of five words is found."""
+
+from tilewright.llm import leakage
+from tilewright.session import session
+
+
+def test_short_stretches():
+    spark = session("local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false")
+    item = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(120)]
+    doc = " ".join(w if i % 10 < 5 else f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i, w in enumerate(item))
+    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    items = spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()] == [(1, 2)]

@@ -178,7 +178,7 @@ FOUND = "doc_id bigint, item_id bigint, share double"
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, share: float = 0.5, hashes: int = 128, contained: float = 0.2, block: int = 20_000
+    documents: DataFrame, items: DataFrame, share: float = 0.5, hashes: int = 128, contained: float = 0.1, block: int = 20_000
 ) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold at least `share` of an item's words, in
     one passage, in order, in stretches of K words or more.
