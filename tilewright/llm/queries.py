@@ -17,8 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d), 0.98).select("vec_id_a", "vec_id_b")
 
 
-#: At least 24 cells, and half of those of the query's region.
-_WIDE = neighbours.Settings(probes=24, ef=96, wide=0.5)
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that several ids have, with the smallest of these: the membership of the classes
+    whose pairs p1_found does not write out."""
+    return neighbours.copies(_vectors(spark, d)).select("vec_id", "representative")
+
+
+#: At least 6 cells, and half of those of the query's region.
+_WIDE = neighbours.Settings(probes=6, ef=256, wide=0.5)
 
 
 def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +80,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_copies": p1_copies,
     "p1_most_similar": p1_most_similar,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
