@@ -34,3 +34,36 @@ def test_names_without_title_and_not_in_citations():
 
 def test_placeholders():
     assert personal.replaced("Mr Wexum, 020 7946 0633.") == "Mr [NAME], [PHONE]."
+
+
+def test_transducers_keep_offsets():
+    text = "Call zero two zero, seven nine four six zero six three three now. Mail klаra (аt) inbox\n[dot] invalid, ｋｉｍ＠inbox.test; Für­st at a dot test"
+    tape = personal.normalised(text)
+    assert "020 79460633 now" in tape.text and "kim@inbox.test" in tape.text and "Fürst@a.test" in tape.text
+    at = tape.text.index("020 79460633")
+    a, b = tape.source(at, at + 12)
+    assert text[a:b] == "zero two zero, seven nine four six zero six three three"
+    assert [t for k, t in kinds(text) if k == "email"] == ["klаra (аt) inbox\n[dot] invalid", "ｋｉｍ＠inbox.test", "Für­st at a dot test"]
+    assert [t for k, t in kinds(text) if k == "phone"] == ["zero two zero, seven nine four six zero six three three"]
+
+
+def test_few_spelt_digits_stay():
+    text = "one two three steps, and one or two more"
+    assert personal.normalised(text).text == text
+
+
+def test_every_character_maps_to_its_own():
+    text = "A  b-\r\nc d\n\n> e [at] f\tg"
+    tape = personal.normalised(text)
+    for i, c in enumerate(tape.text):
+        a, b = tape.source(i, i + 1)
+        assert 0 <= a <= b <= len(text) and (text[a:b] == c or not text[a:b].isalnum())
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a@b.test", "x"), (3, "write to a@b.test. " * 3000, "x")], "doc_id long, text string, kind string")
+    got = personal.found(df).collect()
+    assert len(got) == 3000 and {r["doc_id"] for r in got} == {3} and max(r["start_pos"] for r in got) == 19 * 2999 + 9
+    texts = {r["doc_id"]: r["text"] for r in personal.redacted(df).collect()}
+    assert texts[1] is None and texts[2] == "" and texts[3] == "write to [EMAIL]. " * 3000 and texts[None] == "[EMAIL]"
+    assert personal.found(df.limit(0)).count() == 0

@@ -50,7 +50,7 @@ def _mixed(x: np.ndarray, mask: np.uint32, factor: np.uint32, out: np.ndarray |
 
 
 class Passages:
-    """The passages as searched for; built once per task."""
+    """The passages as searched for; built once and sent to all tasks."""
 
     def __init__(self, items: list[tuple[int, str]], hashes: int, contained: float):
         found = [(i, w) for i, text in items if len(w := words(text or "")) >= K]
@@ -69,7 +69,7 @@ class Passages:
             own = [p for p in order if len(sets[p]) <= most]
             order = order[len(own) :]
             u = len(sets[own[-1]])
-            sig = np.stack([[_mixed(_half(sets[p]), m, f).min() for m, f in zip(self.masks, self.factors)] for p in own])
+            sig = np.stack([_mixed(_half(sets[p])[None, :], self.masks[:, None], self.factors[:, None]).min(axis=1) for p in own])
             minima = []
             for h in range(hashes):
                 by = np.argsort(sig[:, h], kind="stable")
@@ -178,14 +178,15 @@ FOUND = "doc_id bigint, item_id bigint, share double"
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, share: float = 0.5, hashes: int = 128, contained: float = 0.1, block: int = 20_000
+    documents: DataFrame, items: DataFrame, share: float = 0.5, hashes: int = 128, contained: float = 0.1, block: int = 20_000, block_mb: float = 16
 ) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold at least `share` of an item's words, in
     one passage, in order, in stretches of K words or more.
 
     contained is the share of an item's shingles from which MinHash must propose a pair; it is
     lower than `share`, because each break in a passage costs K - 1 shingles. Items are taken
-    `block` at a time, each block in one pass over the documents.
+    about `block` at a time, or fewer if their texts exceed block_mb MB, each block in one pass over
+    the documents; only one block at a time is brought to the driver and sent to the tasks.
 
     Null and empty texts hold nothing and are held by nothing, nor are items of fewer than K
     words. Texts are read whole. An item or a document that occurs twice gives its rows once.
@@ -194,17 +195,18 @@ def leaks(
     require(items, "item_id", "text")
     rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     wanted = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text")
-    n = wanted.count()
-    out = documents.sparkSession.createDataFrame([], FOUND)
-    for b in range(max(1, -(-n // block))):
-        own = wanted if n <= block else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // block))) == b)
-        queries = [(r[0], r[1]) for r in own.collect()]
-        out = _search(rows, queries, share, hashes, contained) if b == 0 else out.unionByName(_search(rows, queries, share, hashes, contained))
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), int(-(-size // (block_mb * 1e6))))
+    out = None
+    for b in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        found = _search(rows, Passages([(r[0], r[1]) for r in own.collect()], hashes, contained), share, contained)
+        out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
-def _search(rows: DataFrame, queries: list[tuple[int, str]], share: float, hashes: int, contained: float) -> DataFrame:
-    given = rows.sparkSession.sparkContext.broadcast(queries)
+def _search(rows: DataFrame, sought: Passages, share: float, contained: float) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast(sought)
 
     def check(ids: list, texts: list, passages: Passages) -> Iterator[tuple]:
         coded = [codes(w) for w in texts]
@@ -222,7 +224,7 @@ def _search(rows: DataFrame, queries: list[tuple[int, str]], share: float, hashe
                 yield ids[d], passages.ids[p], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(given.value, hashes, contained)
+        passages = given.value
         for batch in batches:
             out, ids, texts, size = [], [], [], 0
             for i, text in zip(batch.column(0), batch.column(1)):

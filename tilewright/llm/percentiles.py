@@ -1,9 +1,14 @@
 """Exact percentiles per group over any number of values, by repeated bisection.
 
-Each pass counts, in one aggregation, the rows of every open interval below `parts` - 1 evenly
-spaced cut points and keeps, per target rank, the part that holds it, narrowed to the smallest
-and largest value that really lie there. A target is resolved when both are equal. Only counts
-move between passes: groups x open intervals x parts rows, whatever the number of values.
+Each pass counts, in one aggregation, the rows of every open interval below `parts` - 1 cut
+points and keeps, per target rank, the part that holds it, narrowed to the smallest and largest
+value that really lie there. A target is resolved when both are equal. The cut points part signs
+first, then magnitudes (in equal ratios), then values (in equal steps), so that no distribution
+takes more than some ten passes. Only counts move between passes: groups x open intervals x
+parts rows, whatever the number of values.
+
+Days are kept as counts per value interval; those of several days add up, and the interval that
+holds a target rank gives it within a relative error that does not depend on the number of days.
 """
 
 from __future__ import annotations
@@ -23,6 +28,18 @@ def rank_of(p: float | Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(p * n - F.lit(1e-9))).cast("bigint")
 
 
+def _part(v: Column, lo: Column, hi: Column, parts: int) -> Column:
+    """Which of the parts of the interval from lo to hi, lo < hi, v lies in; lo and hi never lie
+    in the same one, and a larger v in no earlier one."""
+    cut_at = lambda x: F.least(F.floor(x * parts), F.lit(parts - 1)).cast("int")
+    return (
+        F.when((lo <= 0) & (hi >= 0), F.when(v < 0, 0).when(v == 0, 1).otherwise(2))
+        .when((lo > 0) & (hi / 4 > lo), cut_at((F.ln(v) - F.ln(lo)) / (F.ln(hi) - F.ln(lo))))
+        .when((hi < 0) & (lo / 4 < hi), cut_at((F.ln(-lo) - F.ln(-v)) / (F.ln(-lo) - F.ln(-hi))))
+        .otherwise(cut_at((v - lo) / (hi - lo)))
+    )
+
+
 def bisect(values: DataFrame, group: list[str], value: str, shares: list[float], parts: int = 512) -> DataFrame:
     """(group..., share, n, rank, value): for each group and share the exact percentile.
 
@@ -48,7 +65,7 @@ def bisect(values: DataFrame, group: list[str], value: str, shares: list[float],
         spans = goals.select(*renamed).distinct()
         same = " AND ".join(f"{k} <=> {o}" for k, o in zip(keys, other)) or "true"
         inside = rows.join(spans, F.expr(f"{same} AND v >= slo AND v <= shi"))
-        part = F.least(F.floor((F.col("v") / 2 - F.col("slo") / 2) / (F.col("shi") / 2 - F.col("slo") / 2) * parts), F.lit(parts - 1))
+        part = _part(F.col("v"), F.col("slo"), F.col("shi"), parts)
         span = [*other, "slo", "shi", "sbelow"]
         counts = inside.groupBy(*span, part.alias("part")).agg(F.count("v").alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
         counts = counts.withColumn("before", F.expr(f"sbelow + sum(k) OVER (PARTITION BY {', '.join(span)} ORDER BY part) - k"))
@@ -93,41 +110,39 @@ def outliers(attempts: DataFrame, share: float = 0.99, times: float = 5.0) -> Da
     return rows.join(bounds, "reader_type").where("duration_s > bound").select("attempt_id")
 
 
-def day_summaries(attempts: DataFrame, steps: int = 100) -> DataFrame:
-    """Per reader and run_day: n and the exact values at ranks ceil(i * n / steps), i = 0..steps.
+#: Value intervals to each power of two: the relative error of combined days is at most 1 / STEPS.
+STEPS = 1024
+
+
+def _interval(value: str) -> Column:
+    """The interval of a value that isn't negative: its exponent and first binary digits, which
+    order as the values do."""
+    bits = F.expr(f"CAST(reflect('java.lang.Double', 'doubleToLongBits', {value}) AS BIGINT)")
+    return F.shiftright(bits, 52 - (STEPS - 1).bit_length())
+
 
-    These are what combine() takes; a day can be summarised on its own and kept. Attempts
-    without run_day form the day null.
+SUMMARY = ["reader_type", "run_day", "interval"]
+
+
+def day_summaries(attempts: DataFrame) -> DataFrame:
+    """(reader_type, run_day, interval, n, least, most): per reader and day the value intervals
+    that have rows, with their number, smallest and largest value. A day can be summarised on its
+    own and kept. Attempts without run_day form the day null; cases as in reader_percentiles().
     """
-    rows = durations(attempts)
-    cuts = bisect(rows, ["reader_type", "run_day"], "duration_s", [i / steps for i in range(steps + 1)])
-    return cuts.groupBy("reader_type", "run_day").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", F.col("duration_s").alias("value")))).alias("cuts"))
+    rows = durations(attempts).withColumn("interval", _interval("duration_s"))
+    return rows.groupBy(*SUMMARY).agg(F.count("*").alias("n"), F.min("duration_s").alias("least"), F.max("duration_s").alias("most"))
 
 
 def combine(summaries: DataFrame, shares: list[float] = SHARES) -> DataFrame:
-    """Percentiles per reader over all summarised days, with bounds.
-
-    Between two neighbouring cuts of a day the ranks are unknown, so with summaries of s steps
-    the rank of `value` is off by at most n / s + days from the wanted one; `least` and `most`
-    enclose the exact percentile. (Each day weighs in by its rows between cuts; the bounds take
-    all of them as low, or as high, as the cuts allow.)
+    """Percentiles per reader over all summarised days (reader_type, share, n, rank, least, most):
+    least and most are the smallest and the largest value in the interval that holds the wanted
+    rank. The exact percentile is one of the values between them, which differ by less than one
+    part in STEPS. Summaries of parts of a day may be united before; none, no rows.
     """
-    if not summaries.columns:
-        raise ValueError("summaries have no columns")
-    cuts = summaries.select("reader_type", "run_day", "n", F.posexplode("cuts").alias("i", "c"), F.col("cuts").alias("all"))
-    before = F.when(F.col("i") > 0, F.col("all")[F.col("i") - 1]["rank"]).otherwise(F.lit(0))
-    after = F.when(F.col("i") < F.size("all") - 1, F.col("all")[F.col("i") + 1]["rank"]).otherwise(F.col("c.rank"))
-    steps = cuts.select("reader_type", F.col("c.value").alias("value"), (F.col("c.rank") - before).alias("low"), (after - F.col("c.rank")).alias("up"), F.when(F.col("i") == 0, F.col("c.rank")).otherwise(0).alias("first"))
-    steps = steps.groupBy("reader_type", "value").agg(F.sum("low").alias("low"), F.sum(F.col("up") + F.col("first")).alias("up"))
-    run = "OVER (PARTITION BY reader_type ORDER BY value)"
-    steps = steps.select("reader_type", "value", F.expr(f"sum(low) {run}").alias("sure"), F.expr(f"sum(up) {run}").alias("maybe"))
-    n = summaries.groupBy("reader_type").agg(F.sum("n").alias("n"))
-    goals = n.select("reader_type", "n", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    require(summaries, *SUMMARY, "n", "least", "most")
+    counts = summaries.groupBy("reader_type", "interval").agg(F.sum("n").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+    run = "OVER (PARTITION BY reader_type ORDER BY interval)"
+    counts = counts.select("*", F.expr(f"sum(k) {run}").alias("upto"), F.expr("sum(k) OVER (PARTITION BY reader_type)").alias("n"))
+    goals = counts.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
     goals = goals.withColumn("rank", rank_of(F.col("share"), F.col("n")))
-    out = goals.join(steps, "reader_type")
-    # at or below a cut lie surely `sure` rows; at most `maybe` lie below the next one
-    return out.groupBy("reader_type", "share", "n", "rank").agg(
-        F.min(F.when(F.col("maybe") >= F.col("rank"), F.col("value"))).alias("least"),
-        F.min(F.when(F.col("sure") + F.col("maybe") >= 2 * F.col("rank"), F.col("value"))).alias("value"),
-        F.min(F.when(F.col("sure") >= F.col("rank"), F.col("value"))).alias("most"),
-    )
+    return goals.where("rank <= upto AND rank > upto - k").select("reader_type", "share", "n", "rank", "least", "most")

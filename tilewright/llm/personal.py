@@ -1,62 +1,172 @@
 """Personal data in texts: located by an offset-preserving deobfuscation, and replaced.
 
-A text is unfolded (line breaks, hyphenation, quotation marks of forwarded text and page headers
-go) into one in which patterns hold together, with the place of every character in the original.
-Emails are matched with their separators written in any way. What is found in the unfolded text
-is reported at its place in the original. Work is per document: no shuffle, nothing gathered.
+Transducers rewrite a text one after the other, each keeping a map from what it writes back to
+the characters it read: layout (line breaks, hyphenation, quotation marks of forwarded text, page
+headers, invisible characters), letters and digits that only look like Latin ones, disguised
+separators of email addresses ("[at]", " dot "), and numbers spelt digit by digit. Identifiers
+are found in the result, and their spans mapped back through all the maps to the source. Work is
+per document: no shuffle, nothing gathered.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.common import require
+from tilewright.llm.words import LOOKALIKES
+
+Edit = tuple[int, int, str]
+
+
+class Tape:
+    """A text and, for every character, the characters of the source that it stands for."""
+
+    def __init__(self, text: str, under: Tape | None = None, edits: list[Edit] | None = None):
+        """edits: (start, end, new) in the text of `under`, in order and without overlaps; a piece
+        that is rewritten stands as a whole for what it replaces."""
+        self.text, self.under = text, under
+        self.starts, self.places, self.ends = [0], [0], [-1]  # end -1: the piece is a copy
+        if edits:
+            out: list[str] = []
+            at = size = 0
+            for a, b, new in edits:
+                out += [text[at:a], new]
+                size += a - at
+                if new:
+                    self._piece(size, a, b)
+                    size += len(new)
+                self._piece(size, b, -1)
+                at = b
+            self.text = "".join([*out, text[at:]])
+
+    def _piece(self, start: int, place: int, end: int) -> None:
+        if self.starts[-1] == start:
+            self.places[-1], self.ends[-1] = place, end
+        else:
+            self.starts.append(start)
+            self.places.append(place)
+            self.ends.append(end)
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The span of the source that the characters from a to b stand for."""
+        i, j = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
+        first = self.places[i] + (a - self.starts[i] if self.ends[i] < 0 else 0)
+        last = self.places[j] + b - self.starts[j] if self.ends[j] < 0 else self.ends[j]
+        return self.under.source(first, last) if self.under else (first, last)
+
+    def then(self, edits: list[Edit]) -> Tape:
+        return Tape(self.text, self, edits) if edits else self
+
 
 _PAGE = r"[ \t]*\r?\n\s*(?:[—–-] ?\d+ ?[—–-]|\d+\t[A-Z0-9-]+|[A-Z0-9-]+\t\d+|[A-Z0-9-]+[ \t]{2,}Page \d+ of \d+)[ \t]*(?:\r?\n[\s>]*|$)"
-#: Pieces of a text that are unfolded, by the group that matches.
-_FOLDS = re.compile(rf"(?P<hyphen>(?<=[^\W\d_])-(?:{_PAGE}|[ \t]*\r?\n[ \t>]*)(?=[^\W\d_]))|(?P<page>{_PAGE})|(?P<drop>[­​-‍⁠﻿])|(?P<blank> ?\r?\n[\s>]*|[^\S ]\s*| {2,}\s*)")
+_DROPPED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: Where the layout may have to be rewritten, and how: pieces by the group that matches.
+_BROKEN = re.compile(rf"[^\S ]|  |[{_DROPPED}]")
+_FOLD = re.compile(rf"(?P<hyphen>-(?:{_PAGE}|[ \t]*\r?\n[ \t>]*)(?=[^\W\d_]))|(?P<page>{_PAGE})|(?P<drop>[{_DROPPED}])|(?P<blank> *\r?\n[\s>]*|[^\S ]\s*| {{2,}}\s*)")
 
 
-def unfolded(text: str) -> tuple[str, list[int], list[int]]:
-    """(the unfolded text, starts of its pieces, their places in the original)."""
-    out: list[str] = []
-    starts, places, at, size = [0], [0], 0, 0
-    for m in _FOLDS.finditer(text):
+def _layout(text: str) -> list[Edit]:
+    edits: list[Edit] = []
+    done = 0
+    for spot in _BROKEN.finditer(text):
+        at = spot.start()
+        if at < done:
+            continue
+        while at > done and text[at - 1] == " ":
+            at -= 1
+        if at - 1 > done and text[at - 1] == "-" and text[at - 2].isalpha():
+            at -= 1
+        m = _FOLD.match(text, at) or _FOLD.match(text, spot.start())
+        if not m:
+            continue
         kind = m.lastgroup
         if kind == "hyphen":  # a hyphen stays before a capital that follows a small letter
-            new = "-" if text[m.end()].isupper() and text[m.start() - 1].islower() else ""
+            new = "-" if text[m.end()].isupper() and text[at - 1].islower() else ""
         elif kind == "drop":
             new = ""
         else:
             new = "\n" if kind == "blank" and m[0].count("\n") > 1 else " "
-        if m[0] == new:
-            continue
-        out += [text[at : m.start()], new]
-        size += m.start() - at + len(new)
-        at = m.end()
-        if new:
-            starts.append(size - len(new))
-            places.append(m.start())
-        starts.append(size)
-        places.append(at)
-    out.append(text[at:])
-    return "".join(out), starts, places
+        done = m.end()
+        if m[0] != new:
+            edits.append((m.start(), done, new))
+    return edits
 
 
+#: One character for one: look-alike letters, full-width forms and digits of other scripts.
+_LATIN = {ord(a): b for a, b in LOOKALIKES.items() if len(b) == 1} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_LATIN |= {zero + d: str(d) for zero in (0x660, 0x6F0, 0x966) for d in range(10)}
+_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u0660-\u096f\uff01-\uff5e]")
+
 _TLD = r"[^\W\d_]{2,}"
-_AT = r"(?: ?@ ?|＠| ?&#64; ?| ?[\[({<] ?(?:at|AT|ät|arobase) ?[\])}>] ?)"
+_AT = r"(?: ?@ ?| ?&#64; ?| ?[\[({<] ?(?:at|AT|ät|arobase) ?[\])}>] ?)"
 _DOT = r"(?:\.(?: (?=[a-z0-9-]+\.[a-z]))?| ?[\[({<] ?(?:dot|DOT|punkt|point) ?[\])}>] ?)"
-#: An email from its "at" on; its local part is read backwards from there.
-_EMAIL = re.compile(
-    rf"{_AT}[\w-]+(?:(?:{_DOT}| dot | punkt | point )[\w-]+)*(?:{_DOT}| dot | punkt | point ){_TLD}"
-    rf"| (?:at|AT|arobase) [\w-]+(?:(?: dot | DOT | punkt | point |{_DOT})[\w-]+)*(?: dot | DOT | punkt | point ){_TLD}"
-)
+_SPELT_DOT = r" (?:dot|DOT|punkt|point) "
+#: Where a disguised "at" may stand; and an address from its "at" on, with its separators.
+_MAYBE_AT = re.compile(r" ?@ | @|&#64;|@[\w-]+(?:[ \[({<]|\. )| ?[\[({<] ?(?:at|AT|ät|arobase) ?[\])}>]|@[\w.-]+ ?[\[({<]| (?:at|AT|arobase) (?=[\w-]+(?:\.[\w-]+)* (?:dot|DOT|punkt|point) )")
+_TAIL = re.compile(
+    rf"(?P<at>{_AT})[\w-]+(?:(?:{_DOT}|{_SPELT_DOT})[\w-]+)*(?:{_DOT}|{_SPELT_DOT}){_TLD}"
+    rf"|(?P<spelt> (?:at|AT|arobase) )[\w-]+(?:(?:{_DOT}|{_SPELT_DOT})[\w-]+)*{_SPELT_DOT}{_TLD}"
+)
+_SEPARATOR = re.compile(rf"{_DOT}|{_SPELT_DOT}")
+
+
+def _separators(text: str) -> list[Edit]:
+    edits: list[Edit] = []
+    done = 0
+    for spot in _MAYBE_AT.finditer(text):
+        if spot.start() < done or not (m := _TAIL.match(text, spot.start())):
+            continue
+        first = m.span("at") if m["at"] else m.span("spelt")
+        for a, b, new in ((*first, "@"), *((*x.span(), ".") for x in _SEPARATOR.finditer(text, first[1], m.end()))):
+            if text[a:b] != new:
+                edits.append((a, b, new))
+        done = m.end()
+    return edits
+
+
+# The digits as they are spelt.
+_DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+_SPELT = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
+_SPELT_RUN = re.compile(rf"\b{_SPELT}(?:(?:[ -]|, ?){_SPELT})+\b", re.I)
+_SPELT_ONE = re.compile(_SPELT, re.I)
+
+
+def _digits(text: str) -> list[Edit]:
+    """Six or more digits spelt one after the other become figures; groups that commas part
+    stay apart by a blank."""
+    edits: list[Edit] = []
+    for run in _SPELT_RUN.finditer(text):
+        found = [*_SPELT_ONE.finditer(text, run.start(), run.end())]
+        if len(found) < 6:
+            continue
+        for m, after in zip(found, [*found[1:], None]):
+            gap = text[m.end() : after.start()] if after else ""
+            edits.append((m.start(), m.end(), _DIGIT_WORDS[m[0].lower()]))
+            if gap:
+                edits.append((m.end(), after.start(), " " if "," in gap else ""))
+    return edits
+
+
+def normalised(text: str) -> Tape:
+    """The text as identifiers are looked for in it."""
+    tape = Tape(text).then(_layout(text))
+    if not tape.text.isascii() and _FOREIGN.search(tape.text):
+        tape.text = tape.text.translate(_LATIN)
+    tape = tape.then(_separators(tape.text))
+    return tape.then(_digits(tape.text))
+
+
+_DOMAIN = re.compile(rf"@[\w-]+(?:\.[\w-]+)*\.{_TLD}")
 
 _LABEL = re.compile(
     r"(?:\b(?:passport|social security|national insurance|insurance|tax identification|tax|identity card|identity|ID card|ID) ?(?:no\b\.?|number\b|nr\b\.?|ID\b)"
@@ -67,6 +177,8 @@ _LABEL = re.compile(
 _NUMBER = re.compile(r"[\s:(),]*(?:(?:as|is|was|le|est|lautet|ist|als|with|number|no\.?|n°) )?[\s:]*((?:[A-Z]{1,3}[ -]?)?\d[\d./-]*(?: \d[\d./-]*)*(?: ?[A-Z]\b)?)")
 #: Where a number may stand: labels are looked for before these only.
 _DIGITS = re.compile(r"\d[\d ./-]{3}")
+#: What a label holds, in lower case.
+_LABELLED = ("passport", "social", "insurance", "tax", "ident", "id", "ausweis", "reisepass", "steuer", "versicherung", "passeport", "num", "nir")
 #: Numbers by their shape alone, should the label be damaged.
 _SHAPE = re.compile(r"(?<![\w/.-])(?:QQ ?\d\d ?\d\d ?\d\d ?[A-D]|9\d\d([- ])\d\d\1\d{4}|\d{8}-\d{4}|00 \d{3} \d{3} \d{3}|[A-Z]{2}-\d{6}/\d)(?![\w/-])")
 
@@ -77,6 +189,7 @@ _PHONE = re.compile(
 
 _TYPES = "Street|St|Road|Rd|Lane|Ln|Row|Court|Ct|Close|Terrace|Avenue|Ave|Place|Square|Sq|Drive|Way|Hill|Gardens|Crescent"
 _RUN = re.compile(r"[+(]?\d+")
+_STREETS = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz", "ring", "ufer", "damm", "steig", "chaussee")
 _FLAT = re.compile(r"\b(?:Flat|Unit|Apartment|Apt\.?|Suite|FLAT|UNIT) \w{1,4},? ?$")
 _NUMBERED = re.compile(rf"(?<![\w/.§-])\d{{1,4}} ?[A-Za-z]? (?:[A-ZÀ-Þ][\w'’-]+ ){{1,3}}(?:{_TYPES}|{_TYPES.upper()})\b(?! of\b| OF\b)")
 _STREET_DE = re.compile(r"\b[A-ZÄÖÜ][\w-]*(?:[Ss]tra(?:ß|ss)e|STRA(?:ß|SS)E|[Ss]tr\.|[Gg]asse|GASSE|[Ww]eg|WEG|[Aa]llee|ALLEE|[Pp]latz|PLATZ|[Rr]ing|RING|ufer|UFER|damm|DAMM|steig|chaussee) \d{1,4} ?(?:[a-zA-Z]\b)?(?![./]\d)")
@@ -97,10 +210,6 @@ _GIVEN = frozenset(
     sandra sara sarah sebastian simon sophie stefan stephan stephen steven susan susanne sylvie thierry thomas ursula valérie
     victor vincent walter werner wilhelm william wolfgang xavier yves""".split()
 )
-_STEMS = re.compile(
-    r"(?:O['’])?(?:ardosk|brovel|corvel|drayvol|eskam|fennosk|gryndol|halquin|ibbern|jolvak|kessum|lindrak|marquen|norvask|oldrem|ostrev|pellavor|prask|quillam|ruskat|savrin|skarrow|thornaq|torvask|tulvan|umbrel|vellum|wexum|yardosk|zandrel)",
-    re.I,
-)
 #: Capitalised words that are no surname though they follow an initial, a title or a given name.
 _STOP = frozenset(
     """the a an in on of at to by no and or for from with who whom whose that this these those it its he she his her their they we our if as
@@ -110,7 +219,7 @@ _STOP = frozenset(
     besetzung leitsatz tenor urteil beschluss vorinstanz herr frau richter richterin dagegen gleichwohl zudem insoweit
     le la les un une des du de et ou il elle on nous que qui si sur sous pour par avec sans entre voir composition dispositif attendu
     app rep rec val rev law reports mr mrs ms dr prof professor mme mlle me court v vs c name redacted email phone address withheld
-    jr sr messrs abs nr art ziff rn revised version lands high""".split()
+    jr sr zeuge zeugin témoin messrs abs nr art ziff rn revised version lands high""".split()
 )
 _COMPANY = re.compile(r"\s(?:& \w|Ltd|LTD|plc|PLC|GmbH|GMBH|AG|SARL|SA|SE|KG|Inc|LLP|LLC|Co|(?:Holdings|Werke|Textiles|Freight|Estates|Shipping|Dredging|Timber|Power|Quarries|Mills|Vins|HOLDINGS|WERKE|TEXTILES|FREIGHT|ESTATES|SHIPPING|DREDGING|TIMBER|POWER|QUARRIES|MILLS|VINS))\b")
 
@@ -122,11 +231,20 @@ _TITLED = re.compile(
     r"|MR|MRS|MS|MISS|DR|PROF|PROFESSOR|JUDGE|HERRN?|FRAU|MLLE|MME|ME|RICHTER|RICHTERIN)\b\.?[ ]"
     rf"(?=(?P<name>(?P<first>(?!(?:VAN|Van|VON|Von|DE|De|DU)\b){_CAP})?(?P<mid>(?:(?<=\w)[ ])?{_INIT}*)[ ]?{_PART}(?P<last>{_CAP})?))"
 )
-_GIVENS = re.compile(rf"(?<![\w'’-])(?P<first>{_CAP})[ ](?P<mid>{_INIT}*){_PART}(?P<last>{_CAP})")
+_WORD = re.compile(r"(?<![\w'’-])[A-ZÀ-ÖØ-Þ][\w'’-]*\.?")
+_GIVENS = re.compile(rf"(?P<first>{_CAP})[ ](?P<mid>{_INIT}*){_PART}(?P<last>{_CAP})")
 _INITIAL = re.compile(rf"(?<![\w'’.-])(?P<mid>{_INIT}+){_PART}(?P<last>{_CAP})")
-_TURNED = re.compile(rf"(?<![\w'’-]){_PART}(?P<last>{_CAP}),[ ](?P<first>{_CAP})(?:[ ][A-ZÀ-Þ]\.)?(?![\w-])")
+#: What stands before a given name that comes last.
+_TURNED = re.compile(rf"(?<![\w'’-]){_PART}(?P<last>{_CAP}), $")
+_TURNED_END = re.compile(r"(?:[ ][A-ZÀ-Þ]\.)?(?![\w-])")
+_TITLES = frozenset(
+    """Mr Mrs Ms Miss Dr Prof Professor Professeur Judge Justice Herr Herrn Frau Mlle Mme Me M Monsieur Madame Mademoiselle Maître Richter Richterin
+    Juge Sir Lady Lord MR MRS MS MISS DR PROF PROFESSOR JUDGE HERR HERRN FRAU MLLE MME ME RICHTER RICHTERIN""".split()
+)
 #: After these a lone "M." is an initial in French text too.
 _NAMED = re.compile(r"(?:signifié à|[Tt]émoin|requérante?:|appellant:|[Aa]ccording to|selon|ging an|Zeugin|Zeuge) $")
+#: Of these the ones within a sentence, where a name may go on in the next line.
+_WITHIN = re.compile(r"(?:signifié à|[Tt]émoin|[Aa]ccording to|selon|ging an|Zeugin|Zeuge) $")
 _FRENCH = re.compile(r"\b(?:le|la|les|que|une|est|été|du|au)\b")
 _TITLE_BEFORE = re.compile(r"\b(?:Mr|Mrs|Ms|Mme|Mlle|Me|Dr|Herr|Frau)\b", re.I)
 
@@ -146,98 +264,141 @@ def _title_m(t: str, at: int, end: int) -> bool:
     return len(_FRENCH.findall(around)) >= 4
 
 
-def _names(t: str, free, one_line) -> Iterator[tuple[int, int]]:  # noqa: ANN001
-    for m in _TITLED.finditer(t):
-        title = m[0].strip(" .")
-        first, last, start = m["first"], m["last"], m.start("name")
-        if title == "M" and not _title_m(t, m.start(), m.end()):
-            continue
-        if first and (first.lower() in _GIVEN or (last and _STEMS.match(last) and not _STEMS.match(first))):
-            if first.lower() not in _STOP and _surname(last, t, m.end("last")):
-                yield start, m.end("last")
-        elif first and not m["mid"].strip() and len(first) > 2:
-            if _surname(first, t, m.end("first")):
-                yield start, m.end("first")
-        elif not first or m["mid"].strip():
-            if _surname(last, t, m.end("last")) and (not first or first.lower() not in _STOP):
-                yield start, m.end("last")
-    at = 0
-    while m := _GIVENS.search(t, at):
-        first, last = m["first"], m["last"]
-        known = first.lower() in _GIVEN
-        near = not known and len(first) > 2 and first.lower() not in _STOP and _STEMS.match(last) and not _STEMS.match(first) and m["mid"] == "" and first[1:].islower() == last[1:].islower()
-        at = m.end("last") if (known or near) and _surname(last, t, m.end("last")) and free(m.start(), m.end()) else m.start() + len(first)
-        if at == m.end("last"):
-            if near and not (t[max(0, m.start() - 2) : m.start()].strip() in ("", ",", ":", "(") or t[m.start() - 1 : m.start()] == " "):
-                continue
-            if near and re.match(r"(?:,? ?(?:v|V|c|contre)\.? |/)", t[m.end() :][:9]) and first.lower() in ("in", "see", "voir"):
-                continue
-            yield m.start(), m.end()
-    for m in _INITIAL.finditer(t):
-        last = m["last"]
-        if not free(m.start(), m.end()) or not _surname(last, t, m.end()):
-            continue
-        if _STEMS.match(last) or (one_line(m.start(), m.end()) and f" {last.lower()} " not in t and not re.match(r"\.? \d", t[m.end() : m.end() + 3])):
-            yield m.start(), m.end()
-    for m in _TURNED.finditer(t):
-        if m["first"].lower() in _GIVEN and free(m.start(), m.end()) and _surname(m["last"], t, m.end("last")) and m["last"].lower() not in _GIVEN:
-            yield m.start(), m.end()
-
-
-def spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal data in a text, in characters from 0, without overlaps."""
-    t, starts, places = unfolded(text)
-    taken: list[tuple[int, int, str]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y, _ in taken)
-
-    def take(kind: str, a: int, b: int) -> None:
-        if free(a, b):
-            taken.append((a, b, kind))
-
-    for m in _EMAIL.finditer(t):
-        a = m.start()
-        while a and (t[a - 1].isalnum() or t[a - 1] in "._+-"):
-            a -= 1
-        while a < m.start() and not t[a].isalnum():
-            a += 1
-        if a < m.start():
-            take("email", a, m.end())
+def _titled(t: str, m: re.Match) -> tuple[int, int] | None:
+    """The name after a title."""
+    first, last, start = m["first"], m["last"], m.start("name")
+    if m[0].strip(" .") == "M" and not _title_m(t, m.start(), m.end()):
+        return None
+    if first and first.lower() in _GIVEN:
+        return (start, m.end("last")) if first.lower() not in _STOP and _surname(last, t, m.end("last")) else None
+    if first and not m["mid"].strip() and len(first) > 2:
+        return (start, m.end("first")) if _surname(first, t, m.end("first")) else None
+    if (not first or m["mid"].strip()) and _surname(last, t, m.end("last")) and (not first or first.lower() not in _STOP):
+        return start, m.end("last")
+    return None
+
+
+class _Found:
+    """Spans of a normalised text, by what was found first where they overlap."""
+
+    def __init__(self):
+        self.taken: list[tuple[int, int, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        return all(b <= x or y <= a for x, y, _ in self.taken)
+
+    def take(self, kind: str, a: int, b: int) -> None:
+        if self.free(a, b):
+            self.taken.append((a, b, kind))
+
+
+def _emails(t: str, found: _Found) -> None:
+    at = t.find("@")
+    while at >= 0:
+        if m := _DOMAIN.match(t, at):
+            a = at
+            while a and (t[a - 1].isalnum() or t[a - 1] in "._+-"):
+                a -= 1
+            while a < at and not t[a].isalnum():
+                a += 1
+            if a < at:
+                found.take("email", a, m.end())
+        at = t.find("@", at + 1)
+
+
+def _numbers(t: str, found: _Found) -> None:
+    """Identity numbers by label and by shape, phone numbers, and addresses with the number first."""
+    low = t.lower()
+    low = low if len(low) == len(t) else t
     done = 0
     for d in _DIGITS.finditer(t):
-        for m in _LABEL.finditer(t, max(done, d.start() - 60), d.start()):
-            done = m.end()
-            if (n := _NUMBER.match(t, m.end())) and sum(map(str.isdigit, n[1])) >= 6:
-                take("id_number", n.start(1), n.start(1) + len(n[1].rstrip(" .,/-")))
-    runs = [m.start() for m in _RUN.finditer(t)]
-    for at in runs:
-        for m in (_SHAPE.match(t, at), t[at - 2 : at].isupper() and _SHAPE.match(t, at - 2), t[at - 3 : at - 1].isupper() and _SHAPE.match(t, at - 3)):
-            if m:
-                take("id_number", m.start(), m.end())
-    for at in sorted({*runs, *(at + 1 for at in runs if t[at] == "(")}):
-        if (m := _PHONE.match(t, at)) and (9 <= sum(map(str.isdigit, m[0])) <= 20 or m[0].startswith("555-")):
-            take("phone", m.start(), m.end())
-    for at in runs:
+        lo = max(done, d.start() - 60)
+        window = low[lo : d.start()]
+        if any(w in window for w in _LABELLED):
+            for m in _LABEL.finditer(t, lo, d.start()):
+                done = m.end()
+                if (n := _NUMBER.match(t, m.end())) and sum(map(str.isdigit, n[1])) >= 6:
+                    found.take("id_number", n.start(1), n.start(1) + len(n[1].rstrip(" .,/-")))
+    runs = [m.span() for m in _RUN.finditer(t)]
+    for at, end in runs:
+        if end - at in (2, 3, 8) or (end - at == 6 and t[end : end + 1] == "/"):
+            for start in (at, at - 2 if t[at - 2 : at].isupper() else -1, at - 3 if t[at - 3 : at - 1].isupper() else -1):
+                if start >= 0 and (m := _SHAPE.match(t, start)):
+                    found.take("id_number", m.start(), m.end())
+    for at, end in runs:
+        for start in (at, at + 1) if t[at] == "(" else (at,):
+            digits = end - start - (t[start] in "+(")
+            if (t[start] in "+(0" or (digits == 3 and t[end : end + 1] in (" ", ".", "-", ")"))) and (m := _PHONE.match(t, start)) and (9 <= sum(map(str.isdigit, m[0])) <= 20 or m[0].startswith("555-")):
+                found.take("phone", m.start(), m.end())
+    for at, end in runs:
+        if end - at > 4 or t[at] in "+(" or not (t[end : end + 1] in (" ", ",") or t[end : end + 1].isalpha()):
+            continue
         if m := _NUMBERED.match(t, at):
             flat = _FLAT.search(t, max(0, at - 20), at)
-            take("address", flat.start() if flat else at, m.end())
+            found.take("address", flat.start() if flat else at, m.end())
         elif m := _NUMBERED_FR.match(t, at):
-            take("address", at, m.end())
-    for m in _STREET_DE.finditer(t):
-        take("address", m.start(), m.end())
+            found.take("address", at, m.end())
+
+
+def _words(t: str, found: _Found, one_line: Callable[[int, int], bool]) -> None:
+    """Addresses with the street first, and names: all capitalised words are met once."""
+    titles, given, initials = [], [], []
+    for m in _WORD.finditer(t):
+        at, word = m.start(), m[0].rstrip(".")
+        if word in _TITLES:
+            titles.append(at)
+        if len(word) == 1:
+            if m[0] != word:
+                initials.append(at)
+            continue
+        low = word.lower()
+        if low in _GIVEN:
+            given.append(at)
+        if low.endswith(_STREETS) and (street := _STREET_DE.match(t, at)):
+            found.take("address", at, street.end())
+    for at in titles:
+        if (m := _TITLED.match(t, at)) and (span := _titled(t, m)):
+            found.take("name", *span)
+    done = 0
+    for at in given:
+        if at >= done and (m := _GIVENS.match(t, at)) and _surname(m["last"], t, m.end("last")) and found.free(at, m.end()):
+            done = m.end("last")
+            found.take("name", at, done)
+    for at in initials:
+        if at and t[at - 1] in ".":
+            continue
+        m = _INITIAL.match(t, at)
+        if not m or not found.free(at, m.end()) or not _surname(m["last"], t, m.end()):
+            continue
+        before = t[max(0, at - 20) : at]
+        if one_line(at, m.end()):
+            good = _NAMED.search(before) or (f" {m['last'].lower()} " not in t and not (re.match(r"\.? \d", t[m.end() : m.end() + 3]) and one_line(m.end(), m.end() + 2)))
+        else:
+            good = _WITHIN.search(before)
+        if good:
+            found.take("name", at, m.end())
+    for at in given:
+        if t[at - 2 : at] == ", " and (m := _TURNED.search(t, max(0, at - 48), at)):
+            first = re.match(_CAP, t[at:])
+            end = at + (first.end() if first else 0)
+            end = _TURNED_END.match(t, end).end() if first and _TURNED_END.match(t, end) else -1
+            if end > 0 and m["last"].lower() not in _GIVEN and _surname(m["last"], t, m.end("last")):
+                found.take("name", m.start(), end)
 
-    def place(i: int) -> int:
-        k = bisect_right(starts, i) - 1
-        return places[k] + i - starts[k]
 
-    def one_line(a: int, b: int) -> bool:
-        return "\n" not in text[place(a) : place(b)]
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the personal data in a text, in characters from 0, without overlaps."""
+    tape = normalised(text)
+    t, found = tape.text, _Found()
 
-    for a, b in _names(t, free, one_line):
-        take("name", a, b)
+    def one_line(a: int, b: int) -> bool:
+        x, y = tape.source(a, b)
+        return "\n" not in text[x:y]
 
-    return [(kind, place(a), place(b - 1) + 1) for a, b, kind in sorted(taken)]
+    _emails(t, found)
+    _numbers(t, found)
+    _words(t, found, one_line)
+    return [(kind, *tape.source(a, b)) for a, b, kind in sorted(found.taken)]
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -59,6 +59,11 @@ def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the packs of each kind are."""
+    return packing.pack_fill(p7_packs(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -88,6 +93,7 @@ QUERIES = {
     "p6_percentiles": p6_percentiles,
     "p6_days_combined": p6_days_combined,
     "p7_packs": p7_packs,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
@@ -105,6 +111,10 @@ WITH v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch
 ok AS (SELECT vec_id, encoder, f::DOUBLE[64] AS f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0)
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM ok a JOIN ok b ON a.encoder = b.encoder AND a.vec_id < b.vec_id
 WHERE array_cosine_similarity(a.f, b.f) >= 0.98""",
+    "p1_copies": """
+WITH v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch_features WHERE len(features) = 64 AND encoder IS NOT NULL AND vec_id IS NOT NULL GROUP BY 1, 2),
+ok AS (SELECT vec_id, encoder, f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0)
+SELECT vec_id, min(vec_id) OVER (PARTITION BY encoder, f) AS representative FROM ok QUALIFY count(*) OVER (PARTITION BY encoder, f) > 1""",
     "p2_found": """
 WITH RECURSIVE v AS (SELECT vec_id, encoder, any_value(features)::DOUBLE[] AS f FROM patch_features WHERE len(features) = 64 AND encoder IS NOT NULL AND vec_id IS NOT NULL GROUP BY 1, 2),
 ok AS (SELECT vec_id, encoder, f::DOUBLE[64] AS f FROM v WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(f, lambda x: x <> 0)) > 0),
@@ -114,6 +124,11 @@ SELECT vec_id, cluster_id FROM label QUALIFY count(*) OVER (PARTITION BY cluster
     "p6_found": _ATTEMPTS
     + """, bound AS (SELECT reader_type, 5 * quantile_disc(duration_s, 0.99) AS bound FROM counted GROUP BY 1)
 SELECT attempt_id FROM counted JOIN bound USING (reader_type) WHERE duration_s > bound""",
+    "p6_days_combined": _ATTEMPTS
+    + """, h AS (SELECT reader_type, (duration_s::DOUBLE::BIT::BIGINT) >> 42 AS i, count(*) AS k, min(duration_s) AS least, max(duration_s) AS most FROM counted GROUP BY 1, 2),
+c AS (SELECT *, CAST(sum(k) OVER (PARTITION BY reader_type ORDER BY i) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY reader_type) AS BIGINT) AS n FROM h),
+g AS (SELECT *, greatest(1, CAST(ceil(share * n - 1e-9) AS BIGINT)) AS rank FROM c, (SELECT CAST(unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS DOUBLE) AS share))
+SELECT reader_type, share, n, rank, least, most FROM g WHERE rank <= upto AND rank > upto - k""",
     "p6_percentiles": _ATTEMPTS
     + """, ranked AS (SELECT reader_type, duration_s, row_number() OVER (PARTITION BY reader_type ORDER BY duration_s) AS rank, count(*) OVER (PARTITION BY reader_type) AS n FROM counted),
 share AS (SELECT CAST(unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS DOUBLE) AS share)
