@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.common import require
@@ -124,7 +124,7 @@ def nodes(raw: str | None, shape: Shape, wanted: frozenset[str] | None = None) -
 
 def shred(df: DataFrame, key: str = "state_id", raw: str = "raw", shape: Shape = STATE, wanted: list[str] | None = None) -> DataFrame:
     """The nodes of all documents: one row per node with its label, its parent's, its schema
-    path, key (name or position), kind and value; one pass, no shuffle until repeats are dropped.
+    path, key (name or position), kind and value; one pass, one exchange.
 
     Null, empty, broken and incomplete documents have no rows, as have rows without key. A
     repeated record counts once. Other columns are ignored. An empty table gives no rows. A
@@ -147,7 +147,8 @@ def shred(df: DataFrame, key: str = "state_id", raw: str = "raw", shape: Shape =
             )
 
     rows = df.where(F.col(key).isNotNull() & F.col(raw).isNotNull()).select(F.col(key).cast("bigint"), F.col(raw).cast("string"))
-    return rows.mapInArrow(run, NODES).dropDuplicates(["state_id", "dewey"])
+    # one exchange by document serves the repeats here and whatever is done per task later
+    return rows.mapInArrow(run, NODES).repartition("state_id").dropDuplicates(["state_id", "dewey"])
 
 
 TASK, ATTEMPT, OUTPUT, ERROR = "tasks.*", "tasks.*.attempts[]", "tasks.*.outputs.*", "resume.last_error"
@@ -159,7 +160,8 @@ def _parent(column: str, steps: int = 1):
 
 def state_tables(states: DataFrame) -> dict[str, DataFrame]:
     """Flat tables of tasks, attempts, outputs and resume errors, each row tied to its state
-    (state_id) and, by label, to its task (task_dewey); children of the same nodes() pass."""
+    (state_id) and, by label, to its task (task_dewey); children of the same nodes() pass. A
+    resume error has the label of the task that it names, null if its document has none."""
     all_nodes = shred(states, wanted=[TASK, ATTEMPT, OUTPUT, ERROR])
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     of = lambda path: all_nodes.where(F.col("path") == path)
@@ -173,7 +175,10 @@ def state_tables(states: DataFrame) -> dict[str, DataFrame]:
         "state_id", "dewey", _parent("dewey", 2).alias("task_dewey"), F.col("key").alias("output"), F.coalesce(F.get_json_object("value", "$.path"), whole).alias("path"),
         F.expr("try_cast(get_json_object(value, '$.exists') AS boolean)").alias("exists"), F.expr("try_cast(get_json_object(value, '$.bytes') AS bigint)").alias("bytes"),
     )
-    errors = of(ERROR).where(F.col("kind") != "null").select("state_id", "dewey", field("task"), field("at"), field("reason"), field("error"))
+    of_task = F.when(F.col("path") == TASK, F.struct("key", "dewey"))
+    named = all_nodes.where(F.col("path").isin(TASK, ERROR)).withColumn("__tasks", F.collect_list(of_task).over(Window.partitionBy("state_id")))  # tasks of one document
+    label = F.get(F.filter("__tasks", lambda t: t["key"] == F.get_json_object("value", "$.task")), F.lit(0))["dewey"]
+    errors = named.where((F.col("path") == ERROR) & (F.col("kind") != "null")).select("state_id", "dewey", label.alias("task_dewey"), field("task"), field("at"), field("reason"), field("error"))
     return {"tasks": tasks, "attempts": attempts, "outputs": outputs, "resume": errors}
 
 
@@ -186,16 +191,12 @@ def state_children(states: DataFrame) -> DataFrame:
     found = shred(states, wanted=[TASK, ATTEMPT, OUTPUT, ERROR])
     kinds = F.create_map(*[F.lit(x) for pair in ((TASK, "task"), (ATTEMPT, "attempt"), (OUTPUT, "output"), (ERROR, "last_error")) for x in pair])
     rows = found.where((F.col("path") != ERROR) | (F.col("kind") != "null")).select(
-        "state_id", kinds[F.col("path")].alias("child"), "key", "value",
-        F.when(F.col("path") == TASK, F.col("dewey")).when(F.col("path") == ERROR, F.lit(None)).otherwise(_parent("dewey", 2)).alias("task_dewey"),
+        "state_id", kinds[F.col("path")].alias("child"), "key",
+        F.when(F.col("path") == ERROR, F.get_json_object("value", "$.task")).alias("named"),
+        F.when(F.col("path") == TASK, F.col("dewey")).when(F.col("path") != ERROR, _parent("dewey", 2)).alias("task_dewey"),
     )
-    under = rows.where("task_dewey IS NOT NULL")
-    named = under.withColumn(
-        "task", F.expr("max(CASE WHEN child = 'task' THEN key END) OVER (PARTITION BY state_id, task_dewey)")
-    )
+    owner = F.expr("max(CASE WHEN child = 'task' THEN key END) OVER (PARTITION BY state_id, task_dewey)")
     one = F.col("child").isin("task", "last_error")
-    tied = named.select("state_id", "task", "child", F.when(one, F.lit("1")).otherwise(F.col("key")).alias("child_key"))
-    errors = rows.where("child = 'last_error'").select(
-        "state_id", F.get_json_object("value", "$.task").alias("task"), "child", F.lit("1").alias("child_key")
+    return rows.withColumn("owner", owner).select(
+        "state_id", F.when(F.col("child") == "last_error", F.col("named")).otherwise(F.col("owner")).alias("task"), "child", F.when(one, F.lit("1")).otherwise(F.col("key")).alias("child_key")
     )
-    return tied.unionByName(errors)

@@ -25,9 +25,9 @@ def tree_aggregate(
     """One row per key with the measures, however uneven the keys are.
 
     measures: name -> (kind, expression), kind being count (of non-null values), sum, min or max.
-    Level 0 reduces every input chunk (a task's partition) where it lies; each further round
-    merges the states of fan_in neighbouring chunks of a key, so no task ever receives more
-    than fan_in states of one key, and the rows themselves never move. The number of rounds is
+    A task reduces the chunk of the input that it reads, before anything moves; each round then
+    merges the states of fan_in neighbouring chunks of a key, so no task ever receives more than
+    fan_in states of one key, and the rows themselves never move. The number of rounds is
     log(chunks) to the base fan_in.
 
     Null keys form one group, as in GROUP BY. Empty input gives no rows. Columns that are not
@@ -48,13 +48,12 @@ def tree_aggregate(
         *[e.alias(n) for n, (_, e) in zip(names, measures.values())],
     )
     first = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
-    state = rows.groupBy(*keys, _CHUNK).agg(
-        *[first[kind](F.col(n)).alias(n) for n, (kind, _) in zip(names, measures.values())]
-    )
+    state, merge = rows, first
     rounds = max(1, math.ceil(math.log(chunks, fan_in) - 1e-9))
     for level in range(1, rounds + 1):
         by = [*keys, F.floor(F.col(_CHUNK) / fan_in).cast("int").alias(_CHUNK)] if level < rounds else keys
-        state = state.groupBy(*by).agg(*[_MERGE[kind](F.col(n)).alias(n) for n, (kind, _) in zip(names, measures.values())])
+        state = state.groupBy(*by).agg(*[merge[kind](F.col(n)).alias(n) for n, (kind, _) in zip(names, measures.values())])
+        merge = _MERGE
     return state.select(*keys, *[F.col(n).alias(alias) for n, alias in zip(names, measures)])
 
 

@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_processed(spark: SparkSession, d: str) -> DataFrame:
     """The intervals of sequence numbers that are processed after all runs."""
-    return _runs(spark, d).processed().select("source", F.inline("runs")).select("source", "lo", "hi")
+    return incremental.maximal(_runs(spark, d).processed())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,9 +98,8 @@ d AS (SELECT id, arg_max(struct_pack(c := checksum), (ts, event_id)).c AS c FROM
 SELECT l.id FROM l LEFT JOIN d USING (id) WHERE d.c IS NULL OR d.c <> l.c""",
     "p3_processed": """
 WITH s AS (SELECT DISTINCT 'slides' AS source, listing_id AS seq FROM slides UNION SELECT DISTINCT 'task_events', event_id FROM task_events),
-b AS (SELECT source, seq, seq // 65536 AS block FROM s WHERE seq IS NOT NULL),
-i AS (SELECT source, block, seq, seq - row_number() OVER (PARTITION BY source, block ORDER BY seq) AS island FROM b)
-SELECT source, min(seq) AS lo, max(seq) AS hi FROM i GROUP BY source, block, island""",
+i AS (SELECT source, seq, seq - row_number() OVER (PARTITION BY source ORDER BY seq) AS island FROM s WHERE seq IS NOT NULL)
+SELECT source, min(seq) AS lo, max(seq) AS hi FROM i GROUP BY source, island""",
     "p4_found": f"""
 WITH p AS (SELECT patch_id, lower(trim(any_value(name), {_BLANK})) AS name FROM patch_coords WHERE patch_id IS NOT NULL GROUP BY patch_id)
 SELECT name FROM p WHERE name IS NOT NULL GROUP BY name HAVING count(*) * 100 >= (SELECT count(*) FROM p)""",
