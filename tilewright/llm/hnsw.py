@@ -71,7 +71,7 @@ class Graph:
     """The graph of a shard. near, sims: for each node what its insertion found, `ef` of the
     nodes before it and of its batch, in falling order (-1 where there are fewer)."""
 
-    def __init__(self, vectors: np.ndarray, keys: np.ndarray, ef: int = 16, forward: int = 12, back: int = 20, batch: int = ROWS):
+    def __init__(self, vectors: np.ndarray, keys: np.ndarray, ef: int = 16, forward: int = 12, back: int = 16, batch: int = ROWS):
         n = len(vectors)
         mixed = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
@@ -86,6 +86,7 @@ class Graph:
             if not len(above) or len(above) == len(self.layers[-1].nodes):
                 break
             self.layers.append(_Layer(above, forward, back))
+        self._seen = np.zeros(max(ROWS, batch) * n, dtype=bool)
         found, likeness = np.full((n, ef), -1, dtype=np.int32), np.full((n, ef), NONE, dtype=np.float32)
         for lo in range(0, n, batch):
             hi = min(n, lo + batch)
@@ -178,7 +179,7 @@ class Graph:
     def _beams(self, x: np.ndarray, layer: _Layer, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         q, n = len(x), layer.n
         vectors, nodes, base = self.vectors, layer.nodes, layer is self.layers[0]
-        seen = np.zeros(q * n, dtype=bool)
+        seen, marks = self._seen, []  # all False before and after
         beam, sims = np.full((q, ef), -1, dtype=np.int32), np.full((q, ef), NONE, dtype=np.float32)
         done = np.ones((q, ef), dtype=bool)
         active, fresh = np.arange(q), entry
@@ -189,15 +190,16 @@ class Graph:
             r, c = np.nonzero(ok)
             node = fresh[r, c]
             at = active[r] * n + node
-            keep = np.nonzero(~seen[at])[0]
-            r, node = r[keep], node[keep]
-            seen[at[keep]] = True
+            keep = np.nonzero(~seen.take(at))[0]
+            r, node, at = r.take(keep), node.take(keep), at.take(keep)
+            seen[at] = True
+            marks.append(at)
             # the new ones of each beam, pressed to the left
             count = np.bincount(r, minlength=len(active))
             slot = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
             m = int(count.max()) if len(r) else 0
             if m:
-                s = np.einsum("ij,ij->i", x[active[r]], vectors[node if base else nodes[node]])
+                s = np.einsum("ij,ij->i", x.take(active.take(r), axis=0), vectors.take(node if base else nodes.take(node), axis=0))
                 grid, value = np.full((len(active), m), -1, dtype=np.int32), np.full((len(active), m), NONE, dtype=np.float32)
                 grid[r, slot], value[r, slot] = node, s
                 all_sims = np.concatenate([sims[active], value], axis=1)
@@ -216,7 +218,9 @@ class Graph:
             rows = np.repeat(active, w).reshape(-1, w)
             done[rows[good], pick[good]] = True
             parents = np.where(good, np.take_along_axis(beam[active], pick, axis=1), -1)
-            fresh = np.where(parents[:, :, None] >= 0, layer.links[parents], -1).reshape(len(active), -1)
+            fresh = np.where(parents[:, :, None] >= 0, layer.links.take(parents, axis=0, mode="clip"), -1).reshape(len(active), -1)
+        for at in marks:
+            seen[at] = False
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(beam, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
