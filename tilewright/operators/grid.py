@@ -1,42 +1,105 @@
-"""Patch grids of slides and the spatial semi-join of patches with tissue rectangles."""
+"""Patch grids of slides, and the spatial semi-join of patches with tissue.
+
+Slides are (sid, w, h) and either mpp or the size of a patch in level-0 pixels.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.common import require
+from tilewright.operators.metadata import magnification
+
+__all__ = ["column_row", "magnification", "of_column_row", "on_rectangles", "patches", "scan_order", "sized", "touching_rectangles"]
+
+
+def sized(slides: DataFrame, size: int = 512, target: int = 20, overlap: int = 0) -> DataFrame:
+    """slides (.., mpp) with ps and step: a patch of `size` pixels at magnification `target`, and
+    the way from one to the next, in level-0 pixels, each rounded half to even. Slides without
+    mpp have none and are left out. overlap >= size is an error."""
+    if overlap >= size:
+        raise ValueError("overlap must be less than the size of a patch")
+    factor = magnification(F.col("mpp")) / F.lit(float(target))
+    ps = F.bround(F.lit(float(size)) * factor).cast("long")
+    return slides.withColumn("ps", ps).withColumn("step", ps - F.bround(F.lit(float(overlap)) * factor).cast("long")).where("ps > 0 AND step > 0")
+
+
+def patches(slides: DataFrame, size: int = 512, target: int = 20, overlap: int = 0) -> DataFrame:
+    """(sid, ps, step, x, y): all patches of the slides; those at the edge may overhang.
+
+    Columns and rows are generated where the slide's row lies, without a shuffle. Slides of no
+    width or height have no patch. slides may have ps and step already, or mpp (see sized()).
+    """
+    require(slides, "sid", "w", "h")
+    grid = slides if {"ps", "step"} <= set(slides.columns) else sized(slides, size, target, overlap)
+    grid = grid.where("w > 0 AND h > 0 AND ps > 0 AND step > 0").select("sid", "ps", "step", "w", "h")
+    cols = grid.withColumn("x", F.explode(F.expr("sequence(0L, CAST(w - 1 AS BIGINT), CAST(step AS BIGINT))")))
+    return cols.withColumn("y", F.explode(F.expr("sequence(0L, CAST(h - 1 AS BIGINT), CAST(step AS BIGINT))"))).select("sid", "ps", "step", "x", "y")
+
+
+def column_row(x: Column, y: Column, ps: Column, step: Column) -> tuple[Column, Column]:
+    """Column and row of a patch from its corner: 0 at 0, else floor((x - ps) / step) + 1."""
+    at = lambda v: F.when(v == 0, F.lit(0).cast("long")).otherwise(F.floor((v - ps) / step).cast("long") + 1)
+    return at(x), at(y)
+
+
+def of_column_row(col: Column, row: Column, step: Column) -> tuple[Column, Column]:
+    return col * step, row * step
+
+
+def scan_order(grid: DataFrame, order: str = "row-major") -> DataFrame:
+    """grid with patch_idx, from 0 in each slide. It follows from the patch's place alone, so
+    there is nothing to sort: patches of a row (or column) before it, and in it."""
+    if order not in ("row-major", "col-major"):
+        raise ValueError(f"unknown scan order: {order}")
+    require(grid, "sid", "x", "y", "step")
+    size = grid.groupBy("sid").agg((F.max("x") / F.max("step") + 1).cast("long").alias("__cols"), (F.max("y") / F.max("step") + 1).cast("long").alias("__rows"))
+    col, row = (F.col("x") / F.col("step")).cast("long"), (F.col("y") / F.col("step")).cast("long")
+    idx = row * F.col("__cols") + col if order == "row-major" else col * F.col("__rows") + row
+    return grid.join(size, "sid").withColumn("patch_idx", idx).drop("__cols", "__rows")
+
 
-def magnification(mpp: Column) -> Column:
-    """The magnification bucket of microns per pixel; null stays null, 2.4 and more is an error."""
-    out = F.when(mpp.isNull(), F.lit(None).cast("int"))
-    for below, mag in ((0.16, 80), (0.2, 60), (0.3, 40), (0.6, 20), (1.2, 10), (2.4, 5)):
-        out = out.when(mpp < below, mag)
-    return out.otherwise(F.raise_error(F.concat(F.lit("mpp too low a resolution: "), mpp.cast("string"))).cast("int"))
+def _binned(grid: DataFrame, tissue: DataFrame, closed: bool) -> DataFrame:
+    """Pairs of patches and rectangles of a slide whose areas meet (or touch, if closed): an
+    equi-join on the bins of twice a patch's size that both lie in, then the exact test. A pair
+    that shares several bins comes up in the first of them only."""
+    edges = grid.groupBy("sid").agg((F.max("ps") * 2).alias("bin"))
+    boxes = tissue.join(edges, "sid")
+    bins = lambda lo, hi: F.sequence(F.floor(lo / F.col("bin")), F.floor(hi / F.col("bin")))
+    boxes = boxes.withColumn("bx", F.explode(bins(F.col("x0"), F.col("x1")))).withColumn("by", F.explode(bins(F.col("y0"), F.col("y1"))))
+    own = grid.join(edges, "sid").withColumn("bx", F.explode(bins(F.col("x"), F.col("x") + F.col("ps")))).withColumn("by", F.explode(bins(F.col("y"), F.col("y") + F.col("ps"))))
+    met = own.drop("bin").join(boxes, ["sid", "bx", "by"])
+    test = "x <= x1 AND x + ps >= x0 AND y <= y1 AND y + ps >= y0" if closed else "x < x1 AND x + ps > x0 AND y < y1 AND y + ps > y0"
+    first = "bx = greatest(floor(x / bin), floor(x0 / bin)) AND by = greatest(floor(y / bin), floor(y0 / bin))"
+    return met.where(f"{test} AND {first}").drop("bin", "bx", "by")
 
 
-def patches(slides: DataFrame, size: int = 512, target: int = 20) -> DataFrame:
-    """slides (sid, w, h, mpp) -> (sid, ps, x, y): all patches of `size` pixels at `target`, in
-    level-0 pixels, without overlap; patches at the edge may overhang. Slides without mpp have
-    no patch."""
-    sized = slides.withColumn("ps", F.bround(F.lit(float(size)) * magnification(F.col("mpp")) / target).cast("long")).where("ps > 0")
-    cols = sized.withColumn("x", F.explode(F.expr("sequence(0L, w - 1, ps)")))
-    return cols.withColumn("y", F.explode(F.expr("sequence(0L, h - 1, ps)"))).select("sid", "ps", "x", "y")
+def touching_rectangles(grid: DataFrame, tissue: DataFrame) -> DataFrame:
+    """The patches that meet or touch a rectangle (sid, tissue_id, x0, y0, x1, y1) of their slide."""
+    met = _binned(grid, tissue, closed=True)
+    return met.select(*grid.columns).distinct()
 
 
-def on_tissue(grid: DataFrame, tissue: DataFrame, percent: int) -> DataFrame:
-    """The patches of which at least `percent` % lie on tissue (sid, tissue_id, x0, y0, x1, y1).
+def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int) -> DataFrame:
+    """The patches of which at least `percent` % lie on rectangles (sid, tissue_id, x0, y0, x1,
+    y1) of their slide, however these overlap.
 
-    Filter: a patch meets the rectangles of its slide that its own square overlaps. Refine: the
-    area of their union, by inclusion and exclusion of pairs, so at most two rectangles may
-    overlap in one place.
+    Filter: bins (see _binned). Refine: the area of the union is summed over the cells that the
+    edges of the rectangles met cut the patch into, each counted once. Rectangles of no area and
+    repeats don't matter; percent 0 keeps those that share any area.
     """
-    side = lambda a, b, p: F.greatest(F.lit(0), F.least(b, F.col(p) + F.col("ps")) - F.greatest(a, F.col(p)))
-    met = grid.join(tissue, "sid").where("x < x1 AND x + ps > x0 AND y < y1 AND y + ps > y0")
-    one = met.select("sid", "ps", "x", "y", (side(F.col("x0"), F.col("x1"), "x") * side(F.col("y0"), F.col("y1"), "y")).alias("area"))
-    other = tissue.select("sid", *(F.col(c).alias(f"{c}_b") for c in ("tissue_id", "x0", "y0", "x1", "y1")))
-    both = met.join(other, "sid").where("tissue_id < tissue_id_b")
-    width = side(F.greatest("x0", "x0_b"), F.least("x1", "x1_b"), "x")
-    height = side(F.greatest("y0", "y0_b"), F.least("y1", "y1_b"), "y")
-    area = one.unionByName(both.select("sid", "ps", "x", "y", (-width * height).alias("area")))
-    kept = area.groupBy("sid", "ps", "x", "y").agg(F.sum("area").alias("area"))
-    return kept.where(F.col("area") * 100 >= F.col("ps") * F.col("ps") * percent)
+    side = lambda lo, hi, p: (F.greatest(F.col(lo), F.col(p)).alias("a"), F.least(F.col(hi), F.col(p) + F.col("ps")).alias("b"))
+    met = _binned(grid, tissue, closed=False)
+    xa, xb = side("x0", "x1", "x")
+    ya, yb = side("y0", "y1", "y")
+    boxes = met.select(*grid.columns, F.struct(xa.alias("a"), xb.alias("b"), ya.alias("c"), yb.alias("d")).alias("box"))
+    held = boxes.groupBy(*grid.columns).agg(F.collect_set("box").alias("boxes"))  # the rectangles that meet one patch
+    cuts = lambda one, two: F.array_sort(F.array_union(F.transform("boxes", lambda r: r[one]), F.transform("boxes", lambda r: r[two])))
+    strips = held.withColumn("xs", cuts("a", "b")).withColumn("ys", cuts("c", "d"))
+    cell = lambda i, j: F.exists("boxes", lambda r: (r["a"] <= F.col("xs")[i]) & (r["b"] > F.col("xs")[i]) & (r["c"] <= F.col("ys")[j]) & (r["d"] > F.col("ys")[j]))
+    column = lambda i: F.aggregate(
+        F.sequence(F.lit(0), F.size("ys") - 2), F.lit(0).cast("long"), lambda s, j: s + F.when(cell(i, j), F.col("ys")[j + 1] - F.col("ys")[j]).otherwise(F.lit(0)).cast("long")
+    )
+    area = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 2), F.lit(0).cast("long"), lambda s, i: s + column(i) * (F.col("xs")[i + 1] - F.col("xs")[i]).cast("long"))
+    return strips.withColumn("area", area).where(F.col("area") * 100 >= F.col("ps") * F.col("ps") * percent).select(*grid.columns, "area")

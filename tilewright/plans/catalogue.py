@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tilewright.plans import data, slides
+from tilewright.plans import data, features, rasters, slides, tasks
 
-QUERIES = data.QUERIES | slides.QUERIES
-SQL = data.SQL | slides.SQL
+MODULES = (data, slides, features, tasks, rasters)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
