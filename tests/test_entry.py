@@ -1,15 +1,8 @@
 """entry() runs and its query keeps the patches that FIXTURES.md counts."""
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tilewright.session import session
-
-
-@pytest.fixture(scope="session")
-def spark():
-    return session("local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false")
 
 
 def test_entry(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def flattened(json: str) -> dict[str, str | None]:
 
 def leaves(json: Column) -> Column:
     """flattened() as map<string,string>, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("map<string,string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(flattened)

@@ -139,14 +139,15 @@ def tissue(tile: np.ndarray) -> np.ndarray:
     """Tissue of a tile (h, w, 3; uint8) as a boolean mask, in two passes of otsu(): black padding,
     grey and near-black pixels are background; the first pass drops objects below 60 pixels, the
     second fills holes below 5000."""
-    rgb = tile.astype(np.float64)
-    rgb[(tile == 0).all(axis=-1)] = 255
+    given = tile.astype(np.float64)
+    given[(tile == 0).all(axis=-1)] = 255
+    rgb = given.copy()
     value, low = rgb.max(axis=-1), rgb.min(axis=-1)
     saturation = np.where(value > 0, np.round((value - low) * 255 / np.maximum(value, 1)), 0)
     rgb[((saturation <= 10) & (value >= 70)) | (value <= 85)] = 255
     level = rgb @ np.array(GREY)
     mask = without_small(level < threshold_of(level), 60)
-    level = np.where(mask, tile.astype(np.float64) @ np.array(GREY), 255 * (tile > 0).any(axis=-1))
+    level = np.where(mask[..., None], given, np.where(given > 0, 255, 0)) @ np.array(GREY)
     return filled(level < threshold_of(level), 5000)
 
 
