@@ -56,12 +56,19 @@ class Passages:
         found = [(i, w) for i, text in items if len(w := words(text or "")) >= K]
         self.ids = [i for i, _ in found]
         self.words = [w for _, w in found]
-        self.shingles = [shingles(codes(w)) for w in self.words]
+        found_in = [shingles(codes(w)) for w in self.words]
         rng = np.random.default_rng(20240611)
         self.masks = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
         self.factors = rng.integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.ordered = [np.unique(s, return_index=True) for s in self.shingles]
-        sets = [values for values, _ in self.ordered]
+        ordered = [np.unique(s, return_index=True) for s in found_in]
+        sets = [values for values, _ in ordered]
+        self.sizes = np.array([len(v) for v in sets], dtype=np.int64)
+        every = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        by = np.argsort(every, kind="stable")
+        self.values, first = np.unique(every[by], return_index=True)  # each shingle, with the passages that have it
+        self.first = np.append(first, len(every))
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[by] if sets else np.empty(0, dtype=np.int64)
+        self.spots = np.concatenate([at for _, at in ordered])[by] if sets else np.empty(0, dtype=np.int64)
         order = sorted(range(len(sets)), key=lambda p: len(sets[p]))
         self.parts: list[Part] = []
         while order:
@@ -79,17 +86,27 @@ class Passages:
             jaccard = contained * q / (2 * u + q - contained * q)
             self.parts.append(Part(u, np.array(own), minima, np.maximum(1, np.floor(hashes * jaccard / 2)).astype(np.int64)))
 
-    def contained(self, window: np.ndarray, p: int) -> tuple[float, list[tuple[int, int]]]:
-        """Exact share of the passage's shingles that lie in the window, and where they lie."""
-        own = self.ordered[p]
-        at = np.searchsorted(own[0], window)
-        at[at == len(own[0])] = 0
-        equal = np.nonzero(own[0][at] == window)[0]
-        found = at[equal]
-        return len(set(found.tolist())) / len(own[0]), list(zip(equal.tolist(), own[1][found].tolist()))
-
-    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(document, first shingle, end, passage) for the windows that may hold a passage."""
+    def hits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All shingles that documents have in common with passages: (document * passages + passage,
+        place in the document, place in the passage), in that order."""
+        sizes = np.array([len(s) for s in docs])
+        flat = np.concatenate(docs) if len(docs) else np.empty(0, dtype=np.uint64)
+        at = np.searchsorted(self.values, flat)
+        at[at == len(self.values)] = 0
+        found = np.nonzero(self.values[at] == flat)[0] if len(self.values) else np.empty(0, dtype=np.int64)
+        v = at[found]
+        times = self.first[v + 1] - self.first[v]
+        entry = np.repeat(self.first[v], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        ends = np.cumsum(sizes)
+        doc = np.searchsorted(ends, found, side="right")
+        place = found - (ends - sizes)[doc]
+        key = np.repeat(doc, times) * len(self.ids) + self.owners[entry]
+        order = np.lexsort((np.repeat(place, times), key))
+        return key[order], np.repeat(place, times)[order], self.spots[entry][order]
+
+    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(documents, first shingles, passages, width) of the windows that may hold a passage, part
+        by part."""
         for part in self.parts:
             u = part.width
             blocks = np.array([-(-len(s) // u) for s in docs])
@@ -115,19 +132,29 @@ class Passages:
                 at = np.searchsorted(values, low)
                 at[at == len(values)] = 0
                 windows = np.nonzero(values[at] == low)[0]
-                for w in windows:
-                    v = at[w]
-                    keys.append(w * len(by) + by[first[v] : first[v + 1]])
-            if not keys:
-                continue
+                v = at[windows]
+                times = first[v + 1] - first[v]
+                entry = np.repeat(first[v], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                keys.append(np.repeat(windows, times) * len(by) + by[entry])
             pairs, agree = np.unique(np.concatenate(keys), return_counts=True)
-            which = pairs % len(part.places)
-            pairs = pairs[agree >= part.least[which]]
-            for pair in pairs:
-                w, p = divmod(int(pair), len(part.places))
-                doc = int(np.searchsorted(ends, w, side="right"))
-                start = (w - int(ends[doc] - blocks[doc])) * u
-                yield doc, start, start + 2 * u, int(part.places[p])
+            pairs = pairs[agree >= part.least[pairs % len(part.places)]]
+            window, place = np.divmod(pairs, len(part.places))
+            doc = np.searchsorted(ends, window, side="right")
+            yield doc, (window - (ends - blocks)[doc]) * u, part.places[place], u
+
+    def verified(self, docs: list[np.ndarray], contained: float) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+        """(document, first shingle, end, passage, hits) of the candidates whose surroundings, a
+        window to either side, hold at least the share `contained` of the passage's shingles."""
+        key, place, spot = self.hits(docs)
+        at = key * (1 << 32) + place
+        for doc, start, passage, u in self.candidates(docs):
+            lo, hi = np.maximum(0, start - u), start + 3 * u
+            pair = (doc * len(self.ids) + passage) * (1 << 32)
+            a, b = np.searchsorted(at, pair + lo), np.searchsorted(at, pair + hi)
+            for c in np.nonzero(b - a >= contained * self.sizes[passage])[0]:
+                own = spot[a[c] : b[c]]
+                if len(set(own.tolist())) >= contained * self.sizes[passage[c]]:
+                    yield int(doc[c]), int(lo[c]), int(hi[c]), int(passage[c]), list(zip((place[a[c] : b[c]] - lo[c]).tolist(), own.tolist()))
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> bool:
@@ -212,13 +239,9 @@ def _search(rows: DataFrame, sought: Passages, share: float, contained: float) -
         coded = [codes(w) for w in texts]
         docs = [shingles(c) for c in coded]
         best: dict[tuple[int, int], float] = {}
-        for d, start, end, p in passages.candidates(docs):
+        for d, lo, hi, p, hits in passages.verified(docs, 0.75 * contained):
             if best.get((d, p), 0) < 0.999:
-                u = (end - start) // 2
-                lo, hi = max(0, start - u), end + u
-                contains, hits = passages.contained(docs[d][lo:hi], p)
-                if contains >= 0.75 * contained:
-                    best[d, p] = max(best.get((d, p), 0), held(texts[d][lo : hi + K], passages.words[p], hits))
+                best[d, p] = max(best.get((d, p), 0), held(texts[d][lo : hi + K], passages.words[p], hits))
         for (d, p), s in best.items():
             if s >= share:
                 yield ids[d], passages.ids[p], s
