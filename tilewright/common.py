@@ -42,9 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new, unused path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new, unused path for a written table in the shared folder; release() deletes it."""
+    _written.append(path := f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process has written to the shared folder, and say how many
+    there were. Results that still read them can't be used after that."""
+    n = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -27,19 +27,10 @@ def union_area(polygons: list[np.ndarray], x0: float, y0: float, x1: float, y1:
     """Area that the union of polygons (as edges()) has in common with a rectangle: slabs between
     all abscissas where sides begin, end, cross each other or cross the rectangle's, in which the
     covered height is linear."""
-    near, whole = [], False
+    near = []
     for p, e in enumerate(polygons):
-        x, y = (np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])), (np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3]))
-        if not ((x[0] < x1) & (x[1] > x0) & (y[0] < y1) & (y[1] > y0)).any():  # all of the rectangle is inside, or outside
-            over = (x[0] <= x0) & (x[1] > x0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                at = e[:, 1] + (x0 - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-            whole = whole or bool((over & (at <= y0)).sum() % 2)
-            continue
         keep = (np.minimum(e[:, 0], e[:, 2]) < x1) & (np.maximum(e[:, 0], e[:, 2]) > x0) & (e[:, 0] != e[:, 2])
         near.append(np.hstack([e[keep], np.full((int(keep.sum()), 1), p)]))
-    if whole:
-        return float((x1 - x0) * (y1 - y0))
     e = np.concatenate(near) if near else np.empty((0, 5))
     if not len(e):
         return 0.0
@@ -67,6 +58,21 @@ def union_area(polygons: list[np.ndarray], x0: float, y0: float, x1: float, y1:
     return area
 
 
+def located(polygons: list[np.ndarray], boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inside, near), for boxes (n, 4: x0, y0, x1, y1): whether a polygon holds the whole box, and
+    for each polygon (columns) whether a side of it comes near the box."""
+    inside = np.zeros(len(boxes), dtype=bool)
+    near = np.zeros((len(boxes), len(polygons)), dtype=bool)
+    x0, y0, x1, y1 = (boxes[:, [i]] for i in range(4))
+    for p, e in enumerate(polygons):
+        left, right, low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+        near[:, p] = ((left <= x1) & (right >= x0) & (low <= y1) & (high >= y0)).any(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = e[:, 1] + (x0 - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+        inside |= (((left <= x0) & (right > x0) & (at <= y0)).sum(axis=1) % 2 == 1) & ~near[:, p]
+    return inside, near
+
+
 def touches(polygons: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> bool:
     """Whether a closed rectangle and a polygon have a point in common."""
     for e in polygons:
@@ -161,10 +167,12 @@ def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tol
         for rings in polygons.column("rings").to_pylist():
             points = [np.array([(p["x"], p["y"]) for p in r or [] if p], dtype=float).reshape(-1, 2) for r in rings or []]
             shapes.append(edges([simplified(r, tolerance) for r in points]))
-        keep = []
-        for ps, x, y in zip(*(patches.column(c).to_pylist() for c in ("ps", "x", "y"))):
-            box = (x, y, x + ps, y + ps)
-            keep.append(bool(shapes) and (touches(shapes, *box) if threshold <= 0 else union_area(shapes, *box) >= threshold * ps * ps * (1 - 1e-12)))
+        ps, x, y = (patches.column(c).to_numpy().astype(float) for c in ("ps", "x", "y"))
+        boxes = np.stack([x, y, x + ps, y + ps], axis=1).reshape(-1, 4)
+        keep, near = located(shapes, boxes)
+        for i in np.nonzero(~keep & near.any(axis=1))[0]:
+            own = [shapes[p] for p in np.nonzero(near[i])[0]]
+            keep[i] = touches(own, *boxes[i]) if threshold <= 0 else union_area(own, *boxes[i]) >= threshold * ps[i] * ps[i] * (1 - 1e-12)
         return patches.select(names).filter(pa.array(keep, pa.bool_()))
 
     return left.groupBy("sid", "__bx", "__by").cogroup(right.groupBy("__sid", "__cx", "__cy")).applyInArrow(solve, schema)
