@@ -67,3 +67,8 @@ def test_odd_rows(spark):
     texts = {r["doc_id"]: r["text"] for r in personal.redacted(df).collect()}
     assert texts[1] is None and texts[2] == "" and texts[3] == "write to [EMAIL]. " * 3000 and texts[None] == "[EMAIL]"
     assert personal.found(df.limit(0)).count() == 0
+
+
+def test_names_over_line_ends():
+    text = "For the appellant: Torvasko, Rune\r\nPetition – Mortgage. Papers were served on O.\nHalquin at noon. It was put to Dr\n\nPage 2 of 2\n\nNorvask again.\nBefore: Mr X.\nPatent – Lease"
+    assert [t for k, t in kinds(text) if k == "name"] == ["Torvasko, Rune", "O.\nHalquin", "Norvask"]

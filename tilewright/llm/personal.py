@@ -64,7 +64,7 @@ class Tape:
         return Tape(self.text, self, edits) if edits else self
 
 
-_PAGE = r"[ \t]*\r?\n\s*(?:[—–-] ?\d+ ?[—–-]|\d+\t[A-Z0-9-]+|[A-Z0-9-]+\t\d+|[A-Z0-9-]+[ \t]{2,}Page \d+ of \d+)[ \t]*(?:\r?\n[\s>]*|$)"
+_PAGE = r"[ \t]*\r?\n\s*(?:[—–-] ?\d+ ?[—–-]|\d+\t[A-Z0-9-]+|[A-Z0-9-]+\t\d+|(?:[A-Z0-9-]+[ \t]{2,})?(?:Page|page|Seite) \d+ (?:of|von|sur|/) \d+)[ \t]*(?:\r?\n[\s>]*|$)"
 _DROPPED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Where the layout may have to be rewritten, and how: pieces by the group that matches.
 _BROKEN = re.compile(rf"[^\S ]|  |[{_DROPPED}]")
@@ -236,6 +236,7 @@ _GIVENS = re.compile(rf"(?P<first>{_CAP})[ ](?P<mid>{_INIT}*){_PART}(?P<last>{_C
 _INITIAL = re.compile(rf"(?<![\w'’.-])(?P<mid>{_INIT}+){_PART}(?P<last>{_CAP})")
 #: What stands before a given name that comes last.
 _TURNED = re.compile(rf"(?<![\w'’-]){_PART}(?P<last>{_CAP}), $")
+_FIRST = re.compile(_CAP)
 _TURNED_END = re.compile(r"(?:[ ][A-ZÀ-Þ]\.)?(?![\w-])")
 _TITLES = frozenset(
     """Mr Mrs Ms Miss Dr Prof Professor Professeur Judge Justice Herr Herrn Frau Mlle Mme Me M Monsieur Madame Mademoiselle Maître Richter Richterin
@@ -244,7 +245,7 @@ _TITLES = frozenset(
 #: After these a lone "M." is an initial in French text too.
 _NAMED = re.compile(r"(?:signifié à|[Tt]émoin|requérante?:|appellant:|[Aa]ccording to|selon|ging an|Zeugin|Zeuge) $")
 #: Of these the ones within a sentence, where a name may go on in the next line.
-_WITHIN = re.compile(r"(?:signifié à|[Tt]émoin|[Aa]ccording to|selon|ging an|Zeugin|Zeuge) $")
+_WITHIN = re.compile(r"(?:served on|signed by|put to|remise? par|chez|von|signifié à|[Tt]émoin|[Aa]ccording to|selon|ging an|Zeugin|Zeuge) $")
 _FRENCH = re.compile(r"\b(?:le|la|les|que|une|est|été|du|au)\b")
 _TITLE_BEFORE = re.compile(r"\b(?:Mr|Mrs|Ms|Mme|Mlle|Me|Dr|Herr|Frau)\b", re.I)
 
@@ -340,6 +341,14 @@ def _numbers(t: str, found: _Found) -> None:
             found.take("address", at, m.end())
 
 
+def _turned(t: str, at: int) -> tuple[int, int] | None:
+    """The name whose given name begins at `at`, if a surname and a comma stand before it."""
+    if t[at - 2 : at] != ", " or not (m := _TURNED.search(t, max(0, at - 48), at)) or not (first := _FIRST.match(t, at)):
+        return None
+    end = _TURNED_END.match(t, first.end())
+    return (m.start(), end.end()) if end and m["last"].lower() not in _GIVEN and _surname(m["last"], t, m.end("last")) else None
+
+
 def _words(t: str, found: _Found, one_line: Callable[[int, int], bool]) -> None:
     """Addresses with the street first, and names: all capitalised words are met once."""
     titles, given, initials = [], [], []
@@ -359,9 +368,14 @@ def _words(t: str, found: _Found, one_line: Callable[[int, int], bool]) -> None:
     for at in titles:
         if (m := _TITLED.match(t, at)) and (span := _titled(t, m)):
             found.take("name", *span)
+    turned = {at: span for at in given if (span := _turned(t, at))}
     done = 0
     for at in given:
-        if at >= done and (m := _GIVENS.match(t, at)) and _surname(m["last"], t, m.end("last")) and found.free(at, m.end()):
+        if at < done or not (m := _GIVENS.match(t, at)) or not _surname(m["last"], t, m.end("last")) or not found.free(at, m.end()):
+            continue
+        if at in turned and not one_line(at, m.end()) and found.free(*turned[at]):
+            found.take("name", *turned[at])  # the next line is another matter
+        else:
             done = m.end("last")
             found.take("name", at, done)
     for at in initials:
@@ -377,13 +391,8 @@ def _words(t: str, found: _Found, one_line: Callable[[int, int], bool]) -> None:
             good = _WITHIN.search(before)
         if good:
             found.take("name", at, m.end())
-    for at in given:
-        if t[at - 2 : at] == ", " and (m := _TURNED.search(t, max(0, at - 48), at)):
-            first = re.match(_CAP, t[at:])
-            end = at + (first.end() if first else 0)
-            end = _TURNED_END.match(t, end).end() if first and _TURNED_END.match(t, end) else -1
-            if end > 0 and m["last"].lower() not in _GIVEN and _surname(m["last"], t, m.end("last")):
-                found.take("name", m.start(), end)
+    for span in turned.values():
+        found.take("name", *span)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
