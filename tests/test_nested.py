@@ -52,3 +52,8 @@ def test_tables_keep_parent_labels(spark):
     assert {(r["task_dewey"], r["attempt_no"], r["attempt_id"]) for r in tables["attempts"]} == {(labels["segmentation"], 1, "a"), (labels["segmentation"], 2, "b"), (labels["coords:x"], 1, "c")}
     assert all(r["dewey"].startswith(r["task_dewey"] + ".") for r in [*tables["attempts"], *tables["outputs"]])
     assert [(r["task_dewey"], r["error"]) for r in tables["resume"]] == [(labels["segmentation"], "boom")]
+
+
+def test_numbers_that_json_does_not_have(spark):
+    raw = json.dumps(DOC).replace("1.5", "NaN")
+    assert [(r["attempt_id"], str(r["duration_s"])) for r in nested.state_tables(frame(spark, raw))["attempts"].collect() if r["attempt_id"] == "b"] == [("b", "nan")]

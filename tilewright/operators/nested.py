@@ -47,14 +47,15 @@ STATE = Shape(
 
 def document(raw: str | None, shape: Shape) -> dict | None:
     """The document in raw, unpacked from byte order mark, outer blanks, string encoding (also
-    repeated) and envelopes; None if there is none or it isn't complete."""
+    repeated) and envelopes; None if there is none or it isn't complete. Numbers that JSON doesn't
+    have, such as NaN, become their names, so that what holds them stays readable."""
     found: object = raw
     for _ in range(8):
         if isinstance(found, (bytes, bytearray)):
             found = found.decode("utf-8", "replace")
         if isinstance(found, str):
             try:
-                found = json.loads(found.strip().lstrip("\ufeff").strip())
+                found = json.loads(found.strip().lstrip("\ufeff").strip(), parse_constant=str)
             except (ValueError, RecursionError):
                 return None
         elif isinstance(found, dict):

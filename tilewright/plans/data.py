@@ -79,6 +79,36 @@ children AS (
   SELECT state_id, json_extract_string(j, '$.resume.last_error.task'), 'last_error', '1' FROM state WHERE json_type(j, '$.resume.last_error') NOT IN ('NULL'))
 """
 
+_NODES = (
+    _DOCS[: _DOCS.index("tasks AS (")]
+    + r"""root AS (SELECT state_id, j, printf('%06d.', list_position(json_keys(j), 'tasks')) AS head FROM state),
+raw_list AS (SELECT state_id, head, unnest(json_extract(j, '$.tasks[*]')) AS t, generate_subscripts(json_extract(j, '$.tasks[*]'), 1) AS pos FROM root WHERE json_type(j, '$.tasks') = 'ARRAY'),
+tasks AS (
+  SELECT state_id, head || printf('%06d', i) AS task_dewey, k AS task, json_extract(j, '$.tasks."' || k || '"') AS t, -1 AS named
+  FROM (SELECT state_id, head, j, unnest(json_keys(j, '$.tasks')) AS k, generate_subscripts(json_keys(j, '$.tasks'), 1) AS i FROM root WHERE json_type(j, '$.tasks') = 'OBJECT')
+  UNION ALL
+  SELECT state_id, head || printf('%06d', row_number() OVER (PARTITION BY state_id ORDER BY pos)), json_extract_string(t, '$.name'), t, list_position(json_keys(t), 'name')
+  FROM raw_list WHERE json_type(t) = 'OBJECT' AND json_type(t, '$.name') = 'VARCHAR'),
+-- the place of a key among a task's children, the name of a listed task not being one
+under AS (SELECT *, list_position(json_keys(t), 'attempts') AS pa, list_position(json_keys(t), 'outputs') AS po FROM tasks WHERE json_type(t) = 'OBJECT'),
+places AS (SELECT state_id, task_dewey, task, t, task_dewey || printf('.%06d.', pa - CAST(named BETWEEN 0 AND pa AS INTEGER)) AS pa, task_dewey || printf('.%06d.', po - CAST(named BETWEEN 0 AND po AS INTEGER)) AS po FROM under),
+attempts AS (
+  SELECT state_id, task_dewey, pa, unnest(json_extract(t, '$.attempts[*]')) AS v, generate_subscripts(json_extract(t, '$.attempts[*]'), 1) AS i FROM places WHERE json_type(t, '$.attempts') = 'ARRAY'
+  UNION ALL SELECT state_id, task_dewey, pa, json_extract(t, '$.attempts'), 1 FROM places WHERE json_type(t, '$.attempts') NOT IN ('ARRAY', 'NULL')),
+outputs AS (
+  SELECT state_id, task_dewey, po, k AS output, json_extract(t, '$.outputs."' || k || '"') AS v, i FROM (SELECT *, unnest(json_keys(t, '$.outputs')) AS k, generate_subscripts(json_keys(t, '$.outputs'), 1) AS i FROM places WHERE json_type(t, '$.outputs') = 'OBJECT')
+  UNION ALL
+  SELECT state_id, task_dewey, po, json_extract_string(v, '$.name'), CASE WHEN len(json_keys(v)) = 2 AND list_contains(json_keys(v), 'value') THEN json_extract(v, '$.value') ELSE v END, row_number() OVER (PARTITION BY state_id, task_dewey ORDER BY pos)
+  FROM (SELECT *, unnest(json_extract(t, '$.outputs[*]')) AS v, generate_subscripts(json_extract(t, '$.outputs[*]'), 1) AS pos FROM places WHERE json_type(t, '$.outputs') = 'ARRAY') WHERE json_type(v) = 'OBJECT' AND json_type(v, '$.name') = 'VARCHAR')
+"""
+)
+_F = "json_extract_string({v}, '$.{f}') AS \"{f}\""
+
+
+def _fields(v: str, *names: str) -> str:
+    return ", ".join(_F.format(v=v, f=n) for n in names)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_processed": p3_processed,
@@ -109,5 +139,13 @@ q AS (SELECT patch_id, lower(trim(s.n, {_BLANK})) AS name, s.i AS id,
         CASE WHEN len(s.c) = 2 AND s.c[1] >= 0 AND s.c[2] >= 0 THEN s.c[1] END AS x,
         CASE WHEN len(s.c) = 2 AND s.c[1] >= 0 AND s.c[2] >= 0 THEN s.c[2] END AS y FROM p)
 SELECT name, id, count(*) AS n_patches, count(x) AS n_located, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM q GROUP BY name, id""",
+    "p5_tasks": _NODES + f"SELECT state_id, task_dewey, task, {_fields('t', 'status', 'reason', 'message')} FROM tasks",
+    "p5_attempts": _NODES
+    + f"SELECT state_id, pa || printf('%06d', i) AS dewey, task_dewey, CAST(i AS INTEGER) AS attempt_no, {_fields('v', 'attempt_id', 'result', 'error', 'started_at', 'finished_at', 'event', 'ts')}, TRY_CAST(json_extract_string(v, '$.duration_s') AS DOUBLE) AS duration_s FROM attempts",
+    "p5_outputs": _NODES
+    + "SELECT state_id, po || printf('%06d', i) AS dewey, task_dewey, output, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.path') END AS path, TRY_CAST(json_extract_string(v, '$.exists') AS BOOLEAN) AS exists, TRY_CAST(json_extract_string(v, '$.bytes') AS BIGINT) AS bytes FROM outputs",
+    "p5_resume": _NODES
+    + f""", e AS (SELECT state_id, printf('%06d.%06d', list_position(json_keys(j), 'resume'), list_position(json_keys(j, '$.resume'), 'last_error')) AS dewey, json_extract(j, '$.resume.last_error') AS v FROM root WHERE json_type(j, '$.resume.last_error') NOT IN ('NULL'))
+SELECT e.state_id, e.dewey, min(x.task_dewey) AS task_dewey, {_fields('e.v', 'task', 'at', 'reason', 'error')} FROM e LEFT JOIN tasks x ON x.state_id = e.state_id AND x.task = json_extract_string(e.v, '$.task') GROUP BY ALL""",
     "p5_found": _DOCS + "SELECT DISTINCT state_id, task, child, child_key FROM children",
 }
