@@ -103,3 +103,27 @@ def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int) -> DataFrame
     )
     area = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 2), F.lit(0).cast("long"), lambda s, i: s + column(i) * (F.col("xs")[i + 1] - F.col("xs")[i]).cast("long"))
     return strips.withColumn("area", area).where(F.col("area") * 100 >= F.col("ps") * F.col("ps") * percent).select(*grid.columns, "area")
+
+
+def drawn(x: Column, y: Column, ps: Column, downsample: Column) -> Column:
+    """struct<x, y, side> of a patch on a picture that is smaller by `downsample`, cut off; a side is
+    one pixel at least."""
+    cut = lambda v: (v / downsample).cast("int")
+    return F.struct(cut(x).alias("x"), cut(y).alias("y"), F.greatest(F.lit(1), cut(ps)).alias("side"))
+
+
+def from_legacy(coords: DataFrame, levels: Column) -> DataFrame:
+    """coords (.., patch_size, patch_level, custom_downsample) of the former layout, with what the
+    present one has: patch_size_level0 and the magnification or resolution read at. levels are the
+    slide's downsamples; custom_downsample is 1 if null."""
+    require(coords, "patch_size", "patch_level", "custom_downsample")
+    ratio = F.get(levels, F.col("patch_level")) * F.coalesce(F.col("custom_downsample"), F.lit(1))
+    return coords.withColumn("ratio", ratio.cast("double")).withColumn("patch_size_level0", F.bround(F.col("patch_size") * F.col("ratio")).cast("long"))
+
+
+def checked_places(df: DataFrame, coords: str = "coords") -> DataFrame:
+    """df with x and y of its coords; an error unless each is two whole numbers. Empty is fine."""
+    c = F.col(coords).cast("array<double>")
+    good = (F.size(c) == 2) & F.forall(c, lambda v: v.isNotNull() & (F.abs(v - F.bround(v)) <= 1e-8 + 1e-5 * F.abs(v)))
+    at = lambda i: F.when(F.coalesce(good, F.lit(False)), F.bround(c[i]).cast("long")).otherwise(F.raise_error(F.lit("coords must be two whole numbers")).cast("long"))
+    return df.withColumn("x", at(0)).withColumn("y", at(1))

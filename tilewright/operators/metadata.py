@@ -100,3 +100,48 @@ def conversion_plan(files: DataFrame, table: DataFrame, supported: tuple[str, ..
     plan = F.when(~text.has_extension(F.col("name"), supported), "unsupported").when(F.col("mpp").isNull(), "missing").otherwise("task")
     out = files.select("name").distinct().join(known, "name", "left")
     return out.select("name", plan.alias("plan"), F.when(plan == "task", F.col("mpp") / zoom).alias("output_mpp"))
+
+
+def first_two(flat: Column, keys: list[str]) -> Column:
+    """Microns per pixel from flattened metadata (map of dotted keys): the mean of the first two
+    keys, in the order given, that hold a number; the only one if there is one; else null."""
+    hits = F.filter(F.array(*[F.try_element_at(flat, F.lit(k)).try_cast("double") for k in keys]), lambda v: v.isNotNull())
+    return F.when(F.size(hits) >= 2, (F.get(hits, F.lit(0)) + F.get(hits, F.lit(1))) / 2).otherwise(F.get(hits, F.lit(0)))
+
+
+def of_scaling(x_metres: Column, y_metres: Column) -> Column:
+    """Microns per pixel from the lengths of a pixel in metres: their mean."""
+    return (x_metres + y_metres) / 2 * 1e6
+
+
+def embedded(pixels_per_mm: Column, physical: Column) -> Column:
+    """Microns per pixel that a file itself states: from its resolution, else its physical size."""
+    return F.coalesce(F.when(pixels_per_mm > 0, 1000 / pixels_per_mm), physical)
+
+
+def pixels_per_cm(mpp: Column) -> Column:
+    """The resolution that a written file states; null unless mpp is positive."""
+    return F.when(mpp > 0, 1 / (mpp * F.lit(1e-4)))
+
+
+def level_ratio(width: Column, height: Column, level_width: Column, level_height: Column) -> Column:
+    """struct<downsample, uneven>: mean of the ratios of both sides, and whether these differ by
+    more than a thousandth."""
+    x, y = width / F.nullif(level_width, F.lit(0)), height / F.nullif(level_height, F.lit(0))
+    return F.struct(((x + y) / 2).alias("downsample"), (F.abs(x - y) > 1e-3 * F.abs(y)).alias("uneven"))
+
+
+def thumbnail_size(width: Column, height: Column, long_edge: int = 1000) -> Column:
+    """struct<w, h>: the longer side as given, the other in proportion, cut off."""
+    other = lambda short, long: (F.lit(long_edge) * short / F.nullif(long, F.lit(0))).cast("int")
+    wide = width > height
+    return F.struct(F.when(wide, F.lit(long_edge)).otherwise(other(width, height)).alias("w"), F.when(wide, other(height, width)).otherwise(F.lit(long_edge)).alias("h"))
+
+
+def workers(cores: int, at_most: int | None = None, batch: int | None = None) -> int:
+    """Three quarters of the cores, at least one, at most `at_most` (or twice the batch); 0 if at_most
+    is 0 or less."""
+    if at_most is not None and at_most <= 0:
+        return 0
+    limit = at_most if at_most is not None else 2 * batch if batch else cores
+    return max(1, min(int(0.75 * cores), limit))

@@ -89,6 +89,11 @@ def subsample(df: DataFrame, key: str, row_id: str, n: int, seed: int = 0) -> Da
     return sized.withColumn("draw", F.explode(F.sequence(F.col("__r").cast("long"), F.lit(n).cast("long"), F.col("__n")))).drop("__r", "__n")
 
 
+def split(key: Column, share: float, seed: int = 0) -> Column:
+    """'train' or 'test' by a hash of the key, so that rows of one key stay together."""
+    return F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(share * (1 << 30)), "train").otherwise("test")
+
+
 def nearest_centroid(df: DataFrame, centroids: list[list[float]], features: str = "features", name: str = "cluster") -> DataFrame:
     """df with the number of the nearest centroid (squared distance, of equals the smaller)."""
     f = F.col(features)

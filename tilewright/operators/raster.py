@@ -6,7 +6,7 @@ needs a whole raster is done per tile in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,9 +197,9 @@ def _rings(mask: np.ndarray) -> list[np.ndarray]:
 TILE = "sid string, x bigint, y bigint, tissue_pixels bigint, n_regions int"
 
 
-def segmented(tiles: DataFrame) -> DataFrame:
+def segmented(tiles: DataFrame, segment: Callable[[np.ndarray], np.ndarray] = tissue) -> DataFrame:
     """tiles (sid, x, y, h, w, pixels: binary of h * w * 3) -> (sid, x, y, tissue_pixels,
-    n_regions) by tissue(), in Arrow batches. Tiles without pixels, or of another size than they
+    n_regions) by tissue(), or by an own function from a tile to a mask, in Arrow batches. Tiles without pixels, or of another size than they
     say, have null counts."""
     require(tiles, "sid", "x", "y", "h", "w", "pixels")
 
@@ -210,9 +210,42 @@ def segmented(tiles: DataFrame) -> DataFrame:
                 if p is None or not h or not w or len(p) != h * w * 3:
                     counts.append((None, None))
                     continue
-                mask = tissue(np.frombuffer(p, dtype=np.uint8).reshape(h, w, 3))
+                mask = segment(np.frombuffer(p, dtype=np.uint8).reshape(h, w, 3)).astype(bool)
                 counts.append((int(mask.sum()), components(mask)[1]))
             yield pa.record_batch([*batch.columns[:3], pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int32())], names=["sid", "x", "y", "tissue_pixels", "n_regions"])
 
     rows = tiles.select(F.col("sid").cast("string"), F.col("x").cast("bigint"), F.col("y").cast("bigint"), F.col("h").cast("int"), F.col("w").cast("int"), "pixels")
     return rows.mapInArrow(run, TILE)
+
+
+POLYGONS = "sid string, label int, tissue_id int, rings array<array<struct<x:double,y:double>>>"
+
+
+def mask_polygons(masks: DataFrame, least_area: float = 0, least_hole: float = 0, most_holes: int = 20) -> DataFrame:
+    """masks (sid, h, w, scale, mask: binary of h * w labels) -> (sid, label, tissue_id, rings): the
+    outlines of each label but 0, times `scale`, cut off to whole numbers. Outlines of a net area
+    of at most least_area cells are left out; of the holes above least_hole the largest stay.
+    tissue_id counts from 0 in each mask. A mask is one value, so it is held by one task as it
+    is; masks of another size than they say give no rows."""
+    require(masks, "sid", "h", "w", "scale", "mask")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for sid, h, w, scale, m in zip(*(c.to_pylist() for c in batch.columns)):
+                if m is None or not h or not w or len(m) != h * w:
+                    continue
+                labels, n = np.frombuffer(m, dtype=np.uint8).reshape(h, w), 0
+                for value in np.unique(labels[labels > 0]).tolist():
+                    for outer, holes in contours(labels == value):
+                        size = lambda r: abs((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()) / 2
+                        if size(outer) - sum(map(size, holes)) <= least_area:
+                            continue
+                        kept = sorted((r for r in holes if size(r) > least_hole), key=size, reverse=True)[:most_holes]
+                        out.append((sid, value, n, [[{"x": float(int(x * scale)), "y": float(int(y * scale))} for x, y in r] for r in (outer, *kept)]))
+                        n += 1
+            kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), kind))], names=["sid", "label", "tissue_id", "rings"])
+
+    rows = masks.select(F.col("sid").cast("string"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("scale").cast("double"), "mask")
+    return rows.mapInArrow(run, POLYGONS)

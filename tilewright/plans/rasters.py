@@ -51,6 +51,23 @@ def tile_tissue(spark: SparkSession, d: str) -> DataFrame:
     return raster.segmented(_drawn(spark))
 
 
+def mask_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of slides from lineitem's tiles to polygons, with their net area."""
+    cells = raster.accumulated(_tiles(spark, d), 40, 40).where("hits > 0").groupBy("sid").agg(F.collect_list(F.struct("mx", "my")).alias("cells"))
+
+    @F.udf("binary", useArrow=True)
+    def drawn(cells: list) -> bytes:
+        out = bytearray(1600)
+        for c in cells:
+            out[c["my"] * 40 + c["mx"]] = 1
+        return bytes(out)
+
+    masks = cells.select("sid", F.lit(40).alias("h"), F.lit(40).alias("w"), F.lit(10.0).alias("scale"), drawn("cells").alias("mask"))
+    shapes = raster.mask_polygons(masks)
+    holes = F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0)))
+    return shapes.groupBy("sid").agg(F.sum(geometry.net_area(F.col("rings")[0], holes)).cast("long").alias("area"))
+
+
 def encoder_registry(spark: SparkSession, d: str) -> DataFrame:
     return encoders.registry(spark)
 
@@ -74,7 +91,7 @@ def incremental_feat(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("vec_id bigint, norm double").parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (otsu_hist, mask_accumulate, mask_pyramid, colour_blend, tile_encode, tile_tissue, encoder_registry, pipeline_slides, incremental_feat)}
+QUERIES = {f.__name__: f for f in (otsu_hist, mask_accumulate, mask_pyramid, colour_blend, tile_encode, tile_tissue, mask_outlines, encoder_registry, pipeline_slides, incremental_feat)}
 
 _CELLS = """WITH t AS (SELECT l_suppkey AS sid, l_partkey % 40 - 2 AS x, l_orderkey % 40 AS y, CAST(l_linenumber AS BIGINT) AS side, CAST(l_quantity % 3 AS INTEGER) AS label FROM lineitem),
 a AS (SELECT sid, y, side, label, unnest(range(x, x + side)) AS mx FROM t), b AS (SELECT sid, mx, label, unnest(range(y, y + side)) AS my FROM a)
@@ -90,5 +107,6 @@ SELECT event_type, round(arg_max(mid, (between, -b)), 6) AS threshold FROM v GRO
     "mask_pyramid": _CELLS + ", h AS (SELECT sid, mx, my, count(*) FILTER (WHERE label > 0) AS v FROM b WHERE mx >= 0 GROUP BY 1, 2, 3) SELECT sid, mx // 4 AS mx, my // 4 AS my, round(avg(v), 6) AS v FROM h GROUP BY 1, 2, 3",
     "colour_blend": """WITH e AS (SELECT event_id, CAST(least(255, greatest(0, floor(value / 20 * 256))) AS INTEGER) AS r FROM events WHERE value IS NOT NULL)
 SELECT event_id, r, 255 - r AS g, round(r * 0.6::DOUBLE + event_id % 256 * 0.4::DOUBLE, 6) AS blend, round(0.2125::DOUBLE * r + 0.7154::DOUBLE * (255 - r) + 0.0721::DOUBLE * 128, 6) AS grey FROM e""",
+    "mask_outlines": _CELLS + "SELECT CAST(sid AS VARCHAR) AS sid, CAST(100 * count(*) AS BIGINT) AS area FROM (SELECT DISTINCT sid, mx, my FROM b WHERE label > 0 AND mx >= 0 AND mx < 40 AND my < 40) GROUP BY 1",
     "incremental_feat": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.common import table
-from tilewright.functions import geometry, maps, text
+from tilewright.functions import geometry, maps, text, udtf
 from tilewright.operators import grid, metadata, polygons
 
 
@@ -157,11 +157,45 @@ def id_filter(spark: SparkSession, d: str) -> DataFrame:
     return p.join(keep, "p_partkey", "left_semi").join(exclude, "p_partkey", "left_anti")
 
 
+def thumb_sizes(spark: SparkSession, d: str) -> DataFrame:
+    size = metadata.thumbnail_size(F.col("w"), F.col("h"))
+    small = grid.drawn(F.col("w"), F.col("h"), F.col("ps"), F.greatest("w", "h") / F.lit(1000.0))
+    return _grids(spark, d).where("w > 0 AND h > 0").select("sid", size.alias("t"), small["side"].alias("side")).select("sid", "t.w", "t.h", "side")
+
+
+def level_ratios(spark: SparkSession, d: str) -> DataFrame:
+    g = _grids(spark, d).where("w > 64 AND h > 64")
+    ratio = metadata.level_ratio(F.col("w"), F.col("h"), F.floor(F.col("w") / 4), F.floor(F.col("h") / 4))
+    return g.select("sid", ratio.alias("r")).select("sid", F.round("r.downsample", 6).alias("downsample"), "r.uneven")
+
+
+def file_mpp(spark: SparkSession, d: str) -> DataFrame:
+    """Resolutions as files state them: flattened metadata, pixels per length, scaling."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"Scan": {"X": '), (F.col("event_id") % 7 / 8.0).cast("string"), F.lit(', "y": '), F.when(F.col("event_id") % 3 > 0, "0.5").otherwise('"none"'), F.lit("}}")).alias("json"))
+    flat = metadata.first_two(maps.leaves(F.col("json")), ["scan.x", "scan.y", "scan.z"])
+    per_mm = (F.col("event_id") % 5 * 500).cast("double")
+    out = e.withColumn("mpp", flat)
+    return out.select("event_id", "mpp", metadata.embedded(per_mm, F.col("mpp")).alias("embedded"), F.round(metadata.pixels_per_cm(F.col("mpp")), 3).alias("per_cm"), F.round(metadata.of_scaling(F.col("mpp") / 1e6, F.lit(5e-7)), 6).alias("scaling"))
+
+
+def legacy_coords(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "patch_coords").where("patch_id IS NOT NULL").select("patch_id", "patch_size_level0").dropDuplicates(["patch_id"])
+    old = rows.selectExpr("patch_id", "patch_size_level0 div 4 AS patch_size", "CAST(patch_id % 3 AS INT) AS patch_level", "IF(patch_id % 2 = 0, NULL, 1.5D) AS custom_downsample")
+    return grid.from_legacy(old, F.array(F.lit(1.0), F.lit(4.0), F.lit(16.0))).select("patch_id", "ratio", "patch_size_level0")
+
+
+def udtf_grid(spark: SparkSession, d: str) -> DataFrame:
+    """grid_coords() by the table function."""
+    udtf.register(spark)
+    grid.sized(_slides(spark, d)).createOrReplaceTempView("udtf_grid_slides")
+    return spark.sql("SELECT sid, x, y FROM udtf_grid_slides, LATERAL patch_grid(CAST(w AS BIGINT), CAST(h AS BIGINT), ps, step)")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mag_bucket, mpp_coalesce, level_choice, synthetic_pyramid, slide_names, fmt_names, patch_names, mpp_join, convert_plan, grid_coords, grid_overlap, col_row_inverse, scan_order,
-        tissue_any, tissue_prop, tissue_patch_counts, tissue_polygons, polygon_area, contour_filter, id_filter,
+        tissue_any, tissue_prop, tissue_patch_counts, tissue_polygons, polygon_area, contour_filter, id_filter, thumb_sizes, level_ratios, file_mpp, legacy_coords, udtf_grid,
     )
 }
 
@@ -234,4 +268,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY sid, parent ORDER BY area DESC,
 h AS (SELECT sid, parent, sum(area) AS area, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r <= 3 AND area > 12), '') AS hole_ids FROM k GROUP BY 1, 2)
 SELECT p.sid, p.id AS contour_id, p.area - coalesce(h.area, 0) AS net_area, coalesce(h.hole_ids, '') AS hole_ids FROM p LEFT JOIN h ON p.sid = h.sid AND p.id = h.parent WHERE p.parent = -1 AND p.area - coalesce(h.area, 0) > 300""",
     "id_filter": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 4)",
+    "thumb_sizes": _GRIDS + "SELECT sid, CASE WHEN w > h THEN 1000 ELSE CAST(trunc(1000::DOUBLE * w / h) AS INTEGER) END AS w, CASE WHEN w > h THEN CAST(trunc(1000::DOUBLE * h / w) AS INTEGER) ELSE 1000 END AS h, greatest(1, CAST(trunc(ps / (greatest(w, h) / 1000.0::DOUBLE)) AS INTEGER)) AS side FROM g WHERE w > 0 AND h > 0",
+    "level_ratios": _GRIDS
+    + ", r AS (SELECT sid, CAST(w AS DOUBLE) / (w // 4) AS x, CAST(h AS DOUBLE) / (h // 4) AS y FROM g WHERE w > 64 AND h > 64) SELECT sid, round((x + y) / 2, 6) AS downsample, abs(x - y) > 1e-3 * abs(y) AS uneven FROM r",
+    "file_mpp": """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN (event_id % 7 / 8.0::DOUBLE + 0.5) / 2 ELSE event_id % 7 / 8.0::DOUBLE END AS mpp, event_id % 5 * 500.0::DOUBLE AS per_mm FROM events)
+SELECT event_id, mpp, coalesce(CASE WHEN per_mm > 0 THEN 1000 / per_mm END, mpp) AS embedded, round(CASE WHEN mpp > 0 THEN 1 / (mpp * 1e-4) END, 3) AS per_cm, round((mpp / 1e6 + 5e-7) / 2 * 1e6, 6) AS scaling FROM e""",
+    "legacy_coords": """WITH p AS (SELECT DISTINCT ON (patch_id) patch_id, patch_size_level0 // 4 AS ps, patch_id % 3 AS level, CASE WHEN patch_id % 2 = 0 THEN 1 ELSE 1.5 END::DOUBLE AS custom FROM patch_coords WHERE patch_id IS NOT NULL)
+SELECT patch_id, pow(4.0::DOUBLE, level) * custom AS ratio, CAST(round_even(ps * pow(4.0::DOUBLE, level) * custom, 0) AS BIGINT) AS patch_size_level0 FROM p""",
+    "udtf_grid": _grid_sql() + "SELECT sid, x, y FROM g",
 }
