@@ -75,7 +75,11 @@ def test_valid(spark):
 
 def test_ranks_of_ties_nulls_and_hot_keys(spark):
     rows = [("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", None), (None, 5.0), (None, 5.0)] + [("hot", float(i // 2)) for i in range(400)]
-    got = ranking.rank_normalised(spark.createDataFrame(rows, "k string, s double"), "k", "s").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.rank_normalised(spark.createDataFrame(rows, "k string, s double"), "k", "s").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sorted((r["s"] or 0, r["rank"]) for r in got if r["k"] == "a") == [(0, None), (1.0, 1 / 3), (3.0, 2.5 / 3), (3.0, 2.5 / 3)]
     assert [r["rank"] for r in got if r["k"] is None] == [0.75, 0.75]
     assert all(abs(r["rank"] - (2 * r["s"] + 1.5) / 400) < 1e-12 for r in got if r["k"] == "hot")
@@ -83,7 +87,11 @@ def test_ranks_of_ties_nulls_and_hot_keys(spark):
 
 
 def test_numbered(spark):
-    rows = ranking.numbered(spark.range(1000).repartition(7).withColumn("__x", F.lit(1)), ["id"]).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = ranking.numbered(spark.range(1000).repartition(7).withColumn("__x", F.lit(1)), ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert all(r["row"] == r["id"] for r in rows) and len(rows) == 1000
     got = ranking.shards(spark.range(10), ["id"], 3, 4).collect()
     assert [(r["shard"], r["batch"]) for r in sorted(got)] == [(i % 3, i // 4) for i in range(10)]
@@ -136,3 +144,22 @@ def test_encoders(spark):
     with pytest.raises(Exception, match="multiple"):
         spark.range(1).select(encoders.checked_size(F.lit(225), 16)).collect()
     assert encoders.histogram().encode(np.zeros((2, 4, 4, 3), np.uint8)).sum() == 6 and encoders.centre_crop(np.zeros((1, 4, 6, 3)), 2).shape == (1, 2, 2, 3)
+
+
+def test_neighbours_and_places_over_ranges(spark):
+    rows = [(None if i % 10 == 9 else "hot" if i % 10 else f"k{i}", i, i * 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(6)
+    keys = {}
+    for k, o, v in rows:
+        keys.setdefault(k, []).append((o, v))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        near = {r["o"]: (r["__before"] and r["__before"]["v"], r["__after"] and r["__after"]["v"]) for r in ranking.with_neighbours(df, ["k"], ["o"], ["v"]).collect()}
+        places = {r["o"]: r["n"] for r in ranking.numbered_by(df, ["k"], ["o"], "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for own in keys.values():
+        for i, (o, _) in enumerate(own):
+            assert near[o] == (own[i - 1][1] if i else None, own[i + 1][1] if i + 1 < len(own) else None) and places[o] == i + 1

@@ -6,11 +6,12 @@ event_id count once, and events without id are none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.common import folded, require
 from tilewright.functions import text
+from tilewright.operators.ranking import numbered_by, with_neighbours
 
 #: Order of events of equal time.
 ORDER = ("ts", "event_id")
@@ -54,19 +55,19 @@ def report_order(counts: DataFrame) -> DataFrame:
 def attempts(events: DataFrame) -> DataFrame:
     """(id, task, attempt_no, started_at, finished_at, duration_s, result, error): a start opens an
     attempt, the next end closes it; an end without a start before it is one with a null start;
-    a start that no end follows is running. Events of other kinds, or without time, are none."""
+    a start that no end follows is running. Events of other kinds, or without time, are none.
+    Events are sorted by range, so a slide with most of them is shared by many tasks."""
     rows = events.where("ts IS NOT NULL AND event IN ('started', 'finished', 'error')")
-    by = Window.partitionBy("id", "task").orderBy(*ORDER)
+    rows = with_neighbours(rows, ["id", "task"], list(ORDER), ["event", "ts", "status", "error"])
     start = F.col("event") == "started"
-    rows = rows.withColumn("__before", F.lag("event").over(by)).withColumn("__next", F.lead(F.struct("event", "ts", "status", "error")).over(by))
-    opens = start | F.col("__before").isNull() | (F.col("__before") != "started")
-    closed = start & (F.col("__next.event") != "started")
-    rows = rows.where(opens).withColumn("attempt_no", F.row_number().over(by))
-    end = F.when(F.coalesce(closed, F.lit(False)), F.col("__next.ts")).when(~start, F.col("ts"))
+    opens = start | F.col("__before").isNull() | (F.col("__before.event") != "started")
+    closed = start & (F.col("__after.event") != "started")
+    rows = numbered_by(rows.where(opens), ["id", "task"], list(ORDER), "attempt_no")
+    end = F.when(F.coalesce(closed, F.lit(False)), F.col("__after.ts")).when(~start, F.col("ts"))
     began = F.when(start, F.col("ts"))
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    result = F.when(~start, F.col("status")).when(F.coalesce(closed, F.lit(False)), F.col("__next.status")).otherwise(F.lit("running"))
-    error = F.when(~start, F.col("error")).when(F.coalesce(closed, F.lit(False)), F.col("__next.error"))
+    result = F.when(~start, F.col("status")).when(F.coalesce(closed, F.lit(False)), F.col("__after.status")).otherwise(F.lit("running"))
+    error = F.when(~start, F.col("error")).when(F.coalesce(closed, F.lit(False)), F.col("__after.error"))
     return rows.select("id", "task", "attempt_no", began.alias("started_at"), end.alias("finished_at"), (seconds(end) - seconds(began)).alias("duration_s"), result.alias("result"), error.alias("error"))
 
 

@@ -65,8 +65,11 @@ def concat_pool(df: DataFrame, keys: list[str], order: str, skip: int = 1, featu
     """(keys..., i, v): the first vector of each key by `order`, then the mean of those after the
     first `skip`, one behind the other."""
     first = df.groupBy(*keys).agg(F.min_by(features, order).alias("__first"))
-    ranked = df.withColumn("__r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"))
-    rest = mean_pool(ranked.where(F.col("__r") > skip), keys, features).withColumnRenamed("mean", "v")
+    # the first few are told by a limited rank, so no key is sorted; the rest is all less these
+    skipped = df.withColumn("__r", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})")).where(F.col("__r") <= skip)
+    sums = lambda rows: rows_of(rows, keys, features).groupBy(*keys, "i").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    both = sums(df).unionByName(sums(skipped).select(*keys, "i", (-F.col("s")).alias("s"), (-F.col("n")).alias("n"))).groupBy(*keys, "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    rest = both.where("n > 0").select(*keys, "i", (F.col("s") / F.col("n")).alias("v"))
     head = rows_of(first, keys, "__first")
     size = first.select(*keys, F.size("__first").alias("__n"))
     return head.unionByName(rest.join(size, keys).select(*keys, (F.col("i") + F.col("__n")).alias("i"), "v"))

@@ -30,6 +30,45 @@ def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     return placed.withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).select(*df.columns, name)
 
 
+def with_neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """df with structs __before and __after of the named columns of the rows before and after each
+    row of its key, null at the ends; keys and order together tell all rows apart.
+
+    Rows are sorted by range, so a key with most of the rows is shared by many tasks; a range
+    gets its neighbours' last and first rows, two per range.
+    """
+    require(df, *keys, *order, *columns)
+    spread = cut(df.repartitionByRange(*keys, *order).withColumn("__pid", F.spark_partition_id()))
+    by = f"PARTITION BY __pid, {', '.join(f'`{k}`' for k in keys)} ORDER BY {', '.join(f'`{c}`' for c in order)}"
+    row = f"struct({', '.join(f'`{c}`' for c in columns)})"
+    place = F.struct(*[F.col(k) for k in (*keys, *order)])
+    ends = spread.groupBy("__pid").agg(F.min(F.struct(place.alias("p"), F.expr(row).alias("r"))).alias("first"), F.max(F.struct(place.alias("p"), F.expr(row).alias("r"))).alias("last"))
+    ends = ends.select("__pid", F.expr("lag(last) OVER (ORDER BY __pid)").alias("__prev"), F.expr("lead(first) OVER (ORDER BY __pid)").alias("__next"))  # a row per range
+    inside = spread.withColumn("__before", F.expr(f"lag({row}) OVER ({by})")).withColumn("__after", F.expr(f"lead({row}) OVER ({by})"))
+    joined = inside.join(F.broadcast(ends), "__pid")
+    same = lambda side: F.expr(" AND ".join(f"`{k}` <=> {side}.p.`{k}`" for k in keys))
+    before = F.coalesce("__before", F.when(same("__prev"), F.col("__prev.r")))
+    after = F.coalesce("__after", F.when(same("__next"), F.col("__next.r")))
+    return joined.select(*df.columns, before.alias("__before"), after.alias("__after"))
+
+
+def numbered_by(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the place of each row in its key, from 1, sorted by range as in with_neighbours()."""
+    require(df, *keys, *order)
+    spread = cut(df.repartitionByRange(*keys, *order).withColumn("__pid", F.spark_partition_id()))
+    key = F.struct(*[F.col(k) for k in keys])
+    edge = spread.groupBy("__pid").agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    # only the first and the last key of a range can go on in others
+    counts = spread.join(F.broadcast(edge), "__pid").where(key.eqNullSafe(F.col("a")) | key.eqNullSafe(F.col("z"))).groupBy("__pid", *keys).agg(F.count("*").alias("__t"))
+    names = ", ".join(f"`{k}`" for k in keys)
+    before = counts.select("__pid", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.expr(f"sum(__t) OVER (PARTITION BY {names} ORDER BY __pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("__n"))
+    before = before.withColumnRenamed("__pid", "__p").where("__n IS NOT NULL")
+    same = F.expr(" AND ".join(["__pid = __p", *(f"`{k}` <=> __k{i}" for i, k in enumerate(keys))]))
+    inside = spread.withColumn("__in", F.expr(f"row_number() OVER (PARTITION BY __pid, {names} ORDER BY {', '.join(f'`{c}`' for c in order)})"))
+    joined = inside.join(F.broadcast(before), same, "left")  # two rows a range at most
+    return joined.select(*df.columns, (F.col("__in") + F.coalesce("__n", F.lit(0))).cast("int").alias(name))
+
+
 def rank_normalised(df: DataFrame, key: str, score: str, name: str = "rank") -> DataFrame:
     """df with the mean rank of each score in its key, ties sharing theirs, divided by the number
     of scores of the key: in (0, 1]. Null scores have null; null keys form one.
