@@ -46,7 +46,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return nested.state_tables(table(spark, d, "wsi_states"))[name]
+        rows = nested.state_tables(table(spark, d, "wsi_states"))[name]
+        return rows.withColumns({c: F.col(c).cast("int") for c, kind in rows.dtypes if kind == "boolean"})
 
     return run
 
@@ -143,7 +144,7 @@ SELECT name, id, count(*) AS n_patches, count(x) AS n_located, min(x) AS min_x,
     "p5_attempts": _NODES
     + f"SELECT state_id, pa || printf('%06d', i) AS dewey, task_dewey, CAST(i AS INTEGER) AS attempt_no, {_fields('v', 'attempt_id', 'result', 'error', 'started_at', 'finished_at', 'event', 'ts')}, TRY_CAST(json_extract_string(v, '$.duration_s') AS DOUBLE) AS duration_s FROM attempts",
     "p5_outputs": _NODES
-    + "SELECT state_id, po || printf('%06d', i) AS dewey, task_dewey, output, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.path') END AS path, TRY_CAST(json_extract_string(v, '$.exists') AS BOOLEAN) AS exists, TRY_CAST(json_extract_string(v, '$.bytes') AS BIGINT) AS bytes FROM outputs",
+    + "SELECT state_id, po || printf('%06d', i) AS dewey, task_dewey, output, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.path') END AS path, CAST(TRY_CAST(json_extract_string(v, '$.exists') AS BOOLEAN) AS INTEGER) AS exists, TRY_CAST(json_extract_string(v, '$.bytes') AS BIGINT) AS bytes FROM outputs",
     "p5_resume": _NODES
     + f""", e AS (SELECT state_id, printf('%06d.%06d', list_position(json_keys(j), 'resume'), list_position(json_keys(j, '$.resume'), 'last_error')) AS dewey, json_extract(j, '$.resume.last_error') AS v FROM root WHERE json_type(j, '$.resume.last_error') NOT IN ('NULL'))
 SELECT e.state_id, e.dewey, min(x.task_dewey) AS task_dewey, {_fields('e.v', 'task', 'at', 'reason', 'error')} FROM e LEFT JOIN tasks x ON x.state_id = e.state_id AND x.task = json_extract_string(e.v, '$.task') GROUP BY ALL""",

@@ -23,7 +23,8 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     rows = log.attempts(_events(spark, d))
-    return rows.select("id", "task", "attempt_no", "started_at", "finished_at", F.round("duration_s", 3).alias("duration_s"), "result", "error")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c.replace("_at", "_us"))
+    return rows.select("id", "task", "attempt_no", us("started_at"), us("finished_at"), F.round("duration_s", 3).alias("duration_s"), "result", "error")
 
 
 def last_error(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +92,7 @@ SQL = {
 o AS (SELECT *, event = 'started' AS s, event = 'started' AND after IS NOT NULL AND after <> 'started' AS closed FROM r WHERE event = 'started' OR before IS NULL OR before <> 'started'),
 a AS (SELECT id, task, CAST(row_number() OVER (PARTITION BY id, task ORDER BY ts, event_id) AS INTEGER) AS attempt_no, CASE WHEN s THEN ts END AS started_at, CASE WHEN closed THEN nts WHEN NOT s THEN ts END AS finished_at,
   CASE WHEN NOT s THEN status WHEN closed THEN nstatus ELSE 'running' END AS result, CASE WHEN NOT s THEN error WHEN closed THEN nerror END AS error FROM o)
-SELECT id, task, attempt_no, started_at, finished_at, round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6::DOUBLE, 3) AS duration_s, result, error FROM a""",
+SELECT id, task, attempt_no, epoch_us(started_at) AS started_us, epoch_us(finished_at) AS finished_us, round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6::DOUBLE, 3) AS duration_s, result, error FROM a""",
     "last_error": _EV
     + """, f AS (SELECT id, arg_max(struct_pack(task := task, error := error), (ts, event_id)) AS v FROM e WHERE ts IS NOT NULL AND status = 'error' AND error IS NOT NULL GROUP BY 1),
 g AS (SELECT f.id, f.v.task AS task, trim(replace(f.v.error, chr(10), ' ')) AS error FROM f)
