@@ -38,10 +38,12 @@ SPAN = 1 << 16
 
 
 class OpenPacks:
-    """At most `limit` open packs of one capacity; a bit set over free space finds the best fit."""
+    """At most `limit` open packs of one capacity; a bit set over free space finds the best fit.
+    closed: packs that were filled or closed since it was last emptied."""
 
     def __init__(self, capacity: int, limit: int, name: str):
         self.capacity, self.limit, self.name = capacity, limit, name
+        self.closed: list[str] = []
         self.free = 0  # bit f: a pack with f tokens of room is open
         self.at: dict[int, list[str]] = {}
         self.open = self.opened = 0
@@ -56,13 +58,15 @@ class OpenPacks:
             pack = self._take(room)
         else:
             if self.open >= self.limit:
-                self._take((self.free & -self.free).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.free & -self.free).bit_length() - 1))  # the fullest closes
             room, pack = self.capacity, f"{self.name}-{self.opened}"
             self.opened += 1
         if room > size:
             self.at.setdefault(room - size, []).append(pack)
             self.free |= 1 << (room - size)
             self.open += 1
+        else:
+            self.closed.append(pack)
         return pack
 
     def _take(self, room: int) -> str:
@@ -75,6 +79,34 @@ class OpenPacks:
         return pack
 
 
+class Stream:
+    """Pieces of one kind as they come. Rows are given out when their pack is closed; the pieces in
+    packs that are still open at the end are packed once more, the largest first."""
+
+    def __init__(self, kind: str, capacity: int, limit: int, part: int):
+        self.kind, self.capacity, self.part = kind, capacity, part
+        self.packs = OpenPacks(capacity, limit, f"{kind}-{part}")
+        self.held: dict[str, list[tuple]] = {}  # rows of the open packs
+
+    def add(self, doc: int, n: int) -> Iterator[tuple]:
+        for no, (start, size) in enumerate(pieces(n, self.capacity) or [(0, 0)]):
+            if not size:
+                yield doc, self.kind, None, no, start, size, self.capacity
+                continue
+            pack = self.packs.place(size)
+            self.held.setdefault(pack, []).append((doc, no, start, size))
+            for closed in self.packs.closed:
+                for d, i, s, z in self.held.pop(closed):
+                    yield d, self.kind, closed, i, s, z, self.capacity
+            self.packs.closed.clear()
+
+    def end(self) -> Iterator[tuple]:
+        rows = sorted((r for rows in self.held.values() for r in rows), key=lambda r: -r[3])
+        last = OpenPacks(self.capacity, len(rows) + 1, f"{self.kind}-{self.part}-end")
+        for doc, no, start, size in rows:
+            yield doc, self.kind, last.place(size), no, start, size, self.capacity
+
+
 def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, size) of the parts of an item of n tokens; whole unless n exceeds the capacity."""
     return [(s, min(capacity, n - s)) for s in range(0, n, capacity)]
@@ -87,8 +119,8 @@ def pack(documents: DataFrame, sizes: DataFrame, vocabulary: str | None = None,
     """Each text placed, for each kind of pack: one row per piece with its pack, its first token
     and its length. A text is split only if it exceeds the capacity, at every `capacity` tokens.
 
-    One pass, no shuffle: a task packs the texts it reads, into packs of its own. The room that
-    this costs is at most that of open_packs packs per task and kind.
+    One pass, no shuffle: a task packs the texts it reads, into packs of its own. What is in open
+    packs when its texts end is packed once more, so about one pack per task and kind is not full.
 
     Null texts are no items and have no rows; a text without tokens takes no room and has one
     row with pack_id null and no tokens. A doc_id that occurs twice is packed twice. Kinds with
@@ -110,19 +142,22 @@ def pack(documents: DataFrame, sizes: DataFrame, vocabulary: str | None = None,
 
         part = TaskContext.get().partitionId()
         encode = encoding(path).encode_ordinary
-        packs = [OpenPacks(c, open_packs, f"{k}-{part}") for k, c in kinds]
+        streams = [Stream(k, c, open_packs, part) for k, c in kinds]
+        types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * 7
+            return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "pack_kind", "pack_id", "piece_no", "start_token", "n_tokens", "capacity_tokens"])
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = len(encode(text)) if len(text) <= SPAN else sum(len(encode(s)) for s in spans(text))
-                for (kind, capacity), open_ in zip(kinds, packs):
-                    for no, (start, size) in enumerate(pieces(n, capacity) or [(0, 0)]):
-                        for c, x in zip(out, (doc, kind, open_.place(size) if size else None, no, start, size, capacity)):
-                            c.append(x)
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))],
-                names=["doc_id", "pack_kind", "pack_id", "piece_no", "start_token", "n_tokens", "capacity_tokens"],
-            )
+                for stream in streams:
+                    out += stream.add(doc, n)
+            yield batch_of(out)
+        for stream in streams:
+            yield batch_of(list(stream.end()))
 
     return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, PACKS)
 
