@@ -206,7 +206,7 @@ def pivots(vectors: DataFrame, settings: Settings) -> dict[str, tuple[np.ndarray
 @dataclass
 class Index:
     """What a search starts from: the routed vectors, written; repeated: classes (space, key, rep,
-    last) of rows with equal vectors; loads (space, cell, shards, blocks)."""
+    last) of rows with equal vectors; small: whether these are few enough to be sent to every task."""
 
     rows: DataFrame
     settings: Settings
