@@ -60,28 +60,30 @@ def scan_order(grid: DataFrame, order: str = "row-major") -> DataFrame:
     return grid.join(size, "sid").withColumn("patch_idx", idx).drop("__cols", "__rows")
 
 
-def _binned(grid: DataFrame, tissue: DataFrame, closed: bool) -> DataFrame:
+def _binned(grid: DataFrame, tissue: DataFrame, closed: bool, sizes: DataFrame | None) -> DataFrame:
     """Pairs of patches and rectangles of a slide whose areas meet (or touch, if closed): an
     equi-join on the bins of twice a patch's size that both lie in, then the exact test. A pair
-    that shares several bins comes up in the first of them only."""
-    edges = grid.groupBy("sid").agg((F.max("ps") * 2).alias("bin"))
-    boxes = tissue.join(edges, "sid")
-    bins = lambda lo, hi: F.sequence(F.floor(lo / F.col("bin")), F.floor(hi / F.col("bin")))
-    boxes = boxes.withColumn("bx", F.explode(bins(F.col("x0"), F.col("x1")))).withColumn("by", F.explode(bins(F.col("y0"), F.col("y1"))))
-    own = grid.join(edges, "sid").withColumn("bx", F.explode(bins(F.col("x"), F.col("x") + F.col("ps")))).withColumn("by", F.explode(bins(F.col("y"), F.col("y") + F.col("ps"))))
-    met = own.drop("bin").join(boxes, ["sid", "bx", "by"])
+    that shares several bins comes up in the first of them only. sizes (sid, ps) are the sizes of
+    patches that the grid has; without them the grid is read once more to see."""
+    sizes = (grid if sizes is None else sizes).select("sid", "ps").distinct()
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / (F.col("ps") * 2)), F.floor(hi / (F.col("ps") * 2))))
+    boxes = tissue.select("sid", "x0", "y0", "x1", "y1").join(sizes, "sid")
+    boxes = boxes.withColumn("__bx", bins(F.col("x0"), F.col("x1"))).withColumn("__by", bins(F.col("y0"), F.col("y1")))
+    own = grid.withColumn("__bx", bins(F.col("x"), F.col("x") + F.col("ps"))).withColumn("__by", bins(F.col("y"), F.col("y") + F.col("ps")))
+    met = own.join(boxes, ["sid", "ps", "__bx", "__by"])
     test = "x <= x1 AND x + ps >= x0 AND y <= y1 AND y + ps >= y0" if closed else "x < x1 AND x + ps > x0 AND y < y1 AND y + ps > y0"
-    first = "bx = greatest(floor(x / bin), floor(x0 / bin)) AND by = greatest(floor(y / bin), floor(y0 / bin))"
-    return met.where(f"{test} AND {first}").drop("bin", "bx", "by")
+    first = "__bx = greatest(floor(x / (ps * 2)), floor(x0 / (ps * 2))) AND __by = greatest(floor(y / (ps * 2)), floor(y0 / (ps * 2)))"
+    return met.where(f"{test} AND {first}").drop("__bx", "__by")
 
 
-def touching_rectangles(grid: DataFrame, tissue: DataFrame) -> DataFrame:
-    """The patches that meet or touch a rectangle (sid, tissue_id, x0, y0, x1, y1) of their slide."""
-    met = _binned(grid, tissue, closed=True)
+def touching_rectangles(grid: DataFrame, tissue: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The patches that meet or touch a rectangle (sid, tissue_id, x0, y0, x1, y1) of their slide;
+    sizes as in _binned()."""
+    met = _binned(grid, tissue, True, sizes)
     return met.select(*grid.columns).distinct()
 
 
-def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int) -> DataFrame:
+def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int, sizes: DataFrame | None = None) -> DataFrame:
     """The patches of which at least `percent` % lie on rectangles (sid, tissue_id, x0, y0, x1,
     y1) of their slide, however these overlap.
 
@@ -90,7 +92,7 @@ def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int) -> DataFrame
     repeats don't matter; percent 0 keeps those that share any area.
     """
     side = lambda lo, hi, p: (F.greatest(F.col(lo), F.col(p)).alias("a"), F.least(F.col(hi), F.col(p) + F.col("ps")).alias("b"))
-    met = _binned(grid, tissue, closed=False)
+    met = _binned(grid, tissue, False, sizes)
     xa, xb = side("x0", "x1", "x")
     ya, yb = side("y0", "y1", "y")
     boxes = met.select(*grid.columns, F.struct(xa.alias("a"), xb.alias("b"), ya.alias("c"), yb.alias("d")).alias("box"))

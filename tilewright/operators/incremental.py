@@ -216,9 +216,12 @@ class Ledger:
         if self._fs.getUri().getScheme() == "file":
             try:
                 os.link(part.toUri().getPath(), final.toUri().getPath())
+                return
             except FileExistsError:
                 raise rival from None
-        elif self._fs.exists(final) or not self._fs.rename(part, final):
+            except OSError:
+                pass  # a file system without hard links
+        if self._fs.exists(final) or not self._fs.rename(part, final):
             raise rival
 
 

@@ -137,7 +137,7 @@ def repaired(ring: np.ndarray) -> np.ndarray | None:
     return r if area else None
 
 
-def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tolerance: float = 0.0, tile: int = 16) -> DataFrame:
+def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tolerance: float = 0.0, tile: int = 16, sizes: DataFrame | None = None) -> DataFrame:
     """The patches (sid, ps, x, y) of which at least the share `threshold` lies on the union of
     their slide's polygons; threshold 0 keeps those that touch it.
 
@@ -145,11 +145,11 @@ def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tol
     tile, a polygon in all that its box, widened by a patch, covers. Refine: exact area of the
     union (union_area). A task holds the patches and polygons of one tile. Polygons are
     simplified first if a tolerance is given. Null or degenerate rings, and slides without
-    polygons, keep nothing. Extra columns of the grid are kept, those of tissue ignored.
+    polygons, keep nothing. sizes (sid, ps) spare reading the grid for its sizes. Extra columns of the grid are kept, those of tissue ignored.
     """
     require(grid, "sid", "ps", "x", "y")
     require(tissue, "sid", "rings")
-    side = grid.groupBy("sid").agg((F.max("ps") * tile).alias("__tile"), F.max("ps").alias("__ps"))
+    side = (grid if sizes is None else sizes).groupBy("sid").agg((F.max("ps") * tile).alias("__tile"), F.max("ps").alias("__ps"))
     at = lambda v: F.floor(v / F.col("__tile"))
     left = grid.join(side, "sid").withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y")))
     left = left.select(*[F.col(c).alias(c) for c in (*grid.columns, "__bx", "__by")])

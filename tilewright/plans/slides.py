@@ -112,18 +112,18 @@ def scan_order(spark: SparkSession, d: str) -> DataFrame:
 
 def tissue_any(spark: SparkSession, d: str) -> DataFrame:
     slides = _slides(spark, d)
-    return grid.touching_rectangles(grid.patches(slides), _tissue(slides)).select("sid", "x", "y")
+    return grid.touching_rectangles(grid.patches(slides), _tissue(slides), grid.sized(slides)).select("sid", "x", "y")
 
 
 def tissue_prop(spark: SparkSession, d: str) -> DataFrame:
     slides = _slides(spark, d)
-    return grid.on_rectangles(grid.patches(slides), _tissue(slides), 25).select("sid", "x", "y", "area")
+    return grid.on_rectangles(grid.patches(slides), _tissue(slides), 25, grid.sized(slides)).select("sid", "x", "y", "area")
 
 
 def tissue_patch_counts(spark: SparkSession, d: str) -> DataFrame:
     """Patches kept by the spatial semi-join at a quarter of tissue, per slide."""
     slides = _slides(spark, d)
-    return grid.on_rectangles(grid.patches(slides), _tissue(slides), 25).groupBy("sid").agg(F.count("*").alias("n_patches"))
+    return grid.on_rectangles(grid.patches(slides), _tissue(slides), 25, grid.sized(slides)).groupBy("sid").agg(F.count("*").alias("n_patches"))
 
 
 def tissue_polygons(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def tissue_polygons(spark: SparkSession, d: str) -> DataFrame:
     slides = _slides(spark, d)
     rings = F.array(geometry.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     tissue = _tissue(slides).select("sid", "tissue_id", rings.alias("rings"))
-    return polygons.on_polygons(grid.patches(slides), tissue, 0.25).select("sid", "x", "y")
+    return polygons.on_polygons(grid.patches(slides), tissue, 0.25, sizes=grid.sized(slides)).select("sid", "x", "y")
 
 
 def polygon_area(spark: SparkSession, d: str) -> DataFrame:
