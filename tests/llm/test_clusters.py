@@ -64,3 +64,113 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)).withColumn("cluster", F.lit(1))
     assert sorted(tuple(r) for r in clusters.groups(df).collect()) == [(i, 0) for i in range(6)]
     assert clusters.groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def joined(x, together=0.56):
+    """The smallest place in x of each vector's component of pairs that are similar enough."""
+    x = unit(np.asarray(x, dtype=np.float64))
+    near, to = x @ x.T >= together, np.arange(len(x))
+    while True:
+        least = np.where(near, to[None, :], len(x)).min(axis=1)
+        if (least == to).all():
+            return to
+        to = least
+
+
+def expected(x, least=5):
+    to = joined(x)
+    size = np.bincount(to, minlength=len(x))
+    return {(i, int(c)) for i, c in enumerate(to) if size[c] >= least}
+
+
+def one_space(spark, x, parts=3):
+    return spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(parts)
+
+
+def clump(rng, centre, n, spread):
+    return unit(centre + spread * rng.normal(size=(n, 64)) / 8).astype(np.float32)
+
+
+def test_clusters_that_only_one_pair_of_vectors_ties(spark):
+    rng = np.random.default_rng(5)
+    e = np.eye(64)
+    for n in (30, 300):  # compared whole, or as sets
+        a, b = clump(rng, e[0], n, 0.05), clump(rng, e[1], n, 0.05)
+        far = unit(np.array([np.cos(0.55) * e[0] + np.sin(0.55) * e[1], np.sin(0.55) * e[0] + np.cos(0.55) * e[1]])).astype(np.float32)
+        x = np.concatenate([a, b, far[:1]])  # of clump a, 58 degrees from those of b
+        assert len(set(c for _, c in expected(x))) == 2
+        assert {tuple(r) for r in clusters.groups(one_space(spark, x)).collect()} == expected(x)
+        x = np.concatenate([a, b, far])  # 27 degrees between them
+        assert len(set(c for _, c in expected(x))) == 1
+        assert {tuple(r) for r in clusters.groups(one_space(spark, x)).collect()} == expected(x)
+
+
+def test_every_pair_that_meets_the_threshold_is_in_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    crowded = np.zeros((1500, 64), dtype=np.float32)
+    crowded[:, :5] = unit(rng.normal(size=(1500, 5)))
+    wide = np.concatenate([clump(rng, c, 90, 1.0) for c in unit(rng.normal(size=(12, 64)) + 0.75)])
+    loose = unit(rng.normal(size=(1200, 64)) * 0.8 ** np.arange(64)).astype(np.float32)
+    near = clusters.neighbours.Settings
+    for x, cell in ((crowded, 16384), (loose, 16384), (wide, 90)):
+        monkeypatch.setattr(clusters.neighbours, "Settings", lambda cell=cell, **k: near(**{"cell": cell, "shard": max(40, cell // 2), **k}))
+        assert {tuple(r) for r in clusters.groups(one_space(spark, x)).collect()} == expected(x)
+
+
+def test_pairs_beside_the_threshold(spark):
+    # in each space 5 vectors and 5 at a cosine of 0.56 give or take 1e-5, which 16-bit codes can't tell
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for number, cosine in enumerate([0.56001, 0.55999] * 3):
+        q = np.linalg.qr(rng.normal(size=(64, 12)))[0].T
+        b = cosine * q[0] + np.sqrt(1 - cosine**2) * q[1]
+        others = [unit((v + 0.3 * q[2 + i] + w * q[11])[None])[0] for v, w, k in ((q[0], 0.2, 0), (b, -0.2, 4)) for i in range(k, k + 4)]
+        x = np.array([q[0], b, *others]).astype(np.float32)
+        groups = expected(x)
+        assert len(set(c for _, c in groups)) == (1 if cosine > 0.56 else 2)
+        want |= {(100 * number + i, 100 * number + c) for i, c in groups}
+        rows += [(100 * number + i, f"s{number}", v.tolist()) for i, v in enumerate(x)]
+    assert {tuple(r) for r in clusters.groups(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_all_linked_clusters_are_found_whatever_the_clusters_are(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows, nodes, want = [], [], {}
+    for space in ("a", "b"):
+        # clumps of which few pairs are similar enough, and some single vectors
+        x = np.concatenate([clump(rng, c, 150, 0.8) for c in unit(rng.normal(size=(14, 64)) + 0.4)])
+        x = np.concatenate([x] + [clump(rng, v, 1, 1.7) for v in x[:2000:50]])
+        code = x.astype(np.float16)
+        x = unit(code.astype(np.float64))
+        own = np.concatenate([np.repeat(np.arange(14) * 150, 150), np.arange(2100, 2140)]) + (10**6 if space == "b" else 0)
+        tied = {(int(own[i]), int(own[j])) for i, j in zip(*np.nonzero(x @ x.T >= 0.56)) if own[i] != own[j]}
+        sets = {p for p in tied if max(p) % 10**6 < 2100}
+        assert 0 < len(sets) < 14 * 13 / 2 and len(tied) > len(sets)
+        least = {int(c): int(c) for c in own}
+        for _ in least:
+            for a, b in tied:
+                least[a] = least[b] = min(least[a], least[b])
+        want |= {c: m for c, m in least.items() if c != m}
+        first = 10**6 if space == "b" else 0
+        rows += [(space, first + i, int(c), v.tobytes()) for i, (c, v) in enumerate(zip(own, code))]
+        nodes += [(space, int(c), int((own == c).sum()), x[own == c].sum(axis=0).astype(np.float32).tobytes()) for c in np.unique(own)]
+    rows = spark.createDataFrame(rows, "space string, vec_id long, cluster long, code binary")
+    nodes = spark.createDataFrame(nodes, "space string, cluster long, size long, total binary")
+    features = [(r.vec_id, r.space, np.frombuffer(r.code, dtype=np.float16).astype(float).tolist()) for r in rows.collect()]
+    vectors = spark.createDataFrame(features, SCHEMA)
+    for side, block, sets in ((131072, 32768, 1024), (40, 30, 1024), (40, 500, 7)):
+        monkeypatch.setattr(clusters.bridges, "SIDE", side)
+        monkeypatch.setattr(clusters.bridges, "BLOCK", block)
+        monkeypatch.setattr(clusters.bridges, "SETS", sets)
+        assert {tuple(r) for r in clusters.bridges.bridged(rows, nodes, vectors, 0.56, 64).collect()} == set(want.items())
+
+
+def test_components(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 300, (120, 2))]
+    least = {i: i for p in pairs for i in p}
+    for _ in range(300):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = clusters.bridges.components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(i, m) for i, m in least.items() if i != m}

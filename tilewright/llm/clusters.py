@@ -9,8 +9,12 @@ block, until no link of the block leads out of a cluster.
 
 Higher levels: the clusters of all blocks, each known by its attractor, are searched for each
 other, and the matrix of the links found is squared, inflated and pruned as a distributed table.
-That is repeated until no two clusters are similar any more, so it makes no difference how the
-vectors were shared out, and what pruning leaves out of one round is met again in the next.
+That is repeated until no two attractors are similar any more, and what pruning leaves out of one
+round is met again in the next.
+
+At the end all pairs of vectors of different clusters are bounded or compared (see bridges), and
+clusters with a pair that is similar enough are one. So no pair is left out, whatever the graphs,
+beams and probes have missed, and it makes no difference how the vectors were shared out.
 """
 
 from __future__ import annotations
@@ -19,12 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.common import cut, require, written
-from tilewright.llm import neighbours
+from tilewright.llm import bridges, neighbours
 from tilewright.llm.hnsw import Graph
 
 
@@ -159,12 +162,13 @@ def block(n: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, settings: Setting
         lo, hi = key // len(kept), key % len(kept)
 
 
-BLOCKS = "space string, vec_id bigint, node bigint, flow double, code binary"
+BLOCKS = "space string, vec_id bigint, node bigint, flow double, code binary, size bigint, total binary"
 
 
 def blocks(ix: neighbours.Index, settings: Settings) -> DataFrame:
     """The first level: each vector (of copies the one with the smallest id) with the attractor of
-    its cluster and the flow into it; the rows of attractors hold their code."""
+    its cluster, the flow into it and its code; the rows of attractors hold the size of the cluster
+    and the sum of its vectors."""
     s, ns = settings, ix.settings
     few = ix.repeated.select("space", "key", "rep")
     rows = ix.rows.join(F.broadcast(few) if ix.small else few, ["space", "key"], "left")
@@ -177,12 +181,17 @@ def blocks(ix: neighbours.Index, settings: Settings) -> DataFrame:
     def solve(table: pa.Table) -> pa.Table:
         ids, at = np.unique(table.column("vec_id").to_numpy(), return_index=True)
         code = table.column("code").combine_chunks().take(pa.array(at))
-        graph = Graph(neighbours.decoded(code, s.dim), ids, *s.build)
+        x = neighbours.decoded(code, s.dim)
+        graph = Graph(x, ids, *s.build)
         a, b, v = graph.links()
-        keep = v >= s.together
+        keep = v >= s.together + bridges.SLACK
         to, flow = block(len(ids), a[keep], b[keep], v[keep], s)
-        own = pa.array(to != np.arange(len(ids)))
-        return pa.table({"space": pa.array([table.column("space")[0].as_py()] * len(ids), pa.string()), "vec_id": pa.array(ids), "node": pa.array(ids[to]), "flow": pa.array(flow, pa.float64()), "code": pc.if_else(own, pa.scalar(None, pa.binary()), code)})
+        by = np.argsort(to, kind="stable")
+        own, first, size = np.unique(to[by], return_index=True, return_counts=True)
+        sizes, totals = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), None, dtype=object)
+        sizes[own], totals[own] = size, [t.tobytes() for t in np.add.reduceat(x[by], first, axis=0)]
+        columns = [pa.array([table.column("space")[0].as_py()] * len(ids), pa.string()), pa.array(ids), pa.array(ids[to]), pa.array(flow, pa.float64()), code, pa.array(sizes), pa.array(totals.tolist(), pa.binary())]
+        return pa.table(columns, names=["space", "vec_id", "node", "flow", "code", "size", "total"])
 
     return parts.groupBy("space", "cell", "shard").applyInArrow(solve, BLOCKS)
 
@@ -227,7 +236,7 @@ def _higher(nodes: DataFrame, settings: Settings) -> DataFrame:
     of, inflation, n = None, s.inflation, nodes.count()
     while True:
         ix = neighbours.index(nodes, neighbours.Settings(dim=s.dim, probes=4, ef=2 * s.links))
-        found = written(neighbours.search(ix, s.links).where(F.col("similarity") >= s.together - 1e-4), "links")
+        found = written(neighbours.search(ix, s.links).where(F.col("similarity") >= s.together + 2 * bridges.SLACK), "links")
         one = found.select(F.col("vec_id").alias("i"), F.col("neighbour").alias("j"), F.col("similarity").cast("double").alias("v"))
         links = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("i", "j").agg(F.max("v").alias("v"))
         if found.isEmpty():
@@ -258,9 +267,16 @@ def clustered(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.reshape(-1), pa.float32()))
             yield pa.record_batch([batch.column(0), batch.column(1), values], names=["vec_id", "space", "features"])
 
-    nodes = first.where("code IS NOT NULL").select("vec_id", "space", "code").mapInArrow(vector, "vec_id bigint, space string, features array<float>")
+    heads = first.where("size > 0")
+    nodes = heads.select("vec_id", "space", "code").mapInArrow(vector, "vec_id bigint, space string, features array<float>")
     of = _higher(written(nodes, "nodes"), settings)
-    rows = first.select("vec_id", "node", "flow").join(of, "node").select("vec_id", "cluster", "flow")
+    few = of.limit(neighbours.SMALL + 1).count() <= neighbours.SMALL
+    rows = first.join(F.broadcast(of) if few else of, "node").select("space", "vec_id", "cluster", "flow", "code")
+    parts = heads.join(F.broadcast(of) if few else of, "node").select("space", "cluster", "size", "total")
+    tied = bridges.bridged(rows, parts, vectors, settings.together, dim)
+    rows = rows.select("vec_id", "cluster", "flow")
+    if tied is not None:
+        rows = rows.join(tied.withColumnRenamed("node", "cluster"), "cluster", "left").select("vec_id", F.coalesce("least", "cluster").alias("cluster"), "flow")
     if ix.repeated.where("last > rep").isEmpty():
         return rows
     copies = neighbours.members(ix).where("vec_id <> rep").select("rep", "vec_id")
