@@ -56,11 +56,13 @@ class Settings:
 
 def _columns(n: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, values), n x width, of the columns that links (a, b, v) make: the strongest of
-    each column, with a loop as strong as the strongest; -1 and 0 where there are fewer."""
+    each column, of equals those given first, with a loop as strong as the strongest; -1 and 0
+    where there are fewer."""
     rows, values = np.full((n, width), -1, dtype=np.int32), np.zeros((n, width), dtype=np.float32)
     rows[:, 0] = np.arange(n)
     values[:, 0] = 1
-    by = np.lexsort((b, -v, a))
+    strength = v.astype(np.float32).view(np.int32).astype(np.int64)  # bits of positive numbers are in their order
+    by = np.argsort((a.astype(np.int64) << 32) - strength, kind="stable")
     a, b, v = a[by], b[by], v[by]
     first = np.searchsorted(a, np.arange(n))
     rank = np.arange(len(a)) - first[a]
@@ -72,34 +74,49 @@ def _columns(n: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, width: int) ->
 
 
 def _squared(rows: np.ndarray, values: np.ndarray, inflation: float, prune: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The columns squared, inflated and pruned; and the flow into each row by the squaring alone."""
+    """The columns squared, inflated and pruned; and the flow into each row by the squaring alone.
+    Entries of a column are on its left, here and in the result."""
     n = len(rows)
     out_rows, out_values = np.full((n, width), -1, dtype=np.int32), np.zeros((n, width), dtype=np.float32)
     flow = np.zeros(n, dtype=np.float64)
-    for at in range(0, n, 8192):
-        r, v = rows[at : at + 8192], values[at : at + 8192]
-        i = np.where(r[:, :, None] >= 0, rows[r], -1).reshape(len(r), -1)
-        x = (v[:, :, None] * values[r]).reshape(len(r), -1)
-        x[i < 0] = 0
-        by = np.argsort(i, axis=1)
-        i, x = np.take_along_axis(i, by, axis=1), np.take_along_axis(x, by, axis=1)
-        total = np.cumsum(x, axis=1, dtype=np.float64)
-        end = np.ones(i.shape, dtype=bool)
-        end[:, :-1] = i[:, 1:] != i[:, :-1]
-        upto = np.where(end, total, 0)
-        before = np.zeros_like(upto)
-        before[:, 1:] = np.maximum.accumulate(upto, axis=1)[:, :-1]
-        sums = np.where(end & (i >= 0), total - before, 0)
-        flow += np.bincount(i[end & (i >= 0)], weights=sums[end & (i >= 0)], minlength=n)
+    held = (rows >= 0).sum(axis=1)
+    order = np.argsort(held, kind="stable")  # columns of few entries make few products
+    for lo in range(0, n, 8192):
+        at = order[lo : lo + 8192]
+        r, v = rows[at, : held[at[-1]]], values[at, : held[at[-1]]]
+        most = int(held[r[r >= 0]].max())
+        i = rows[:, :most].take(r, axis=0, mode="wrap")
+        i[r < 0] = -1
+        x = (v[:, :, None] * values[:, :most].take(r, axis=0, mode="wrap")).reshape(-1)
+        # sorted by their rows, with their places as the low bits
+        m = r.shape[1] * most
+        bits = (m - 1).bit_length()
+        key = i.reshape(len(at), m).astype(np.int32 if n << bits < 1 << 31 else np.int64)
+        key = np.sort((key << bits) | np.arange(m, dtype=key.dtype), axis=1)
+        x = x.take((key & ((1 << bits) - 1)) + (np.arange(len(at)) * m)[:, None]).reshape(-1)
+        i = key >> bits
+        new = np.ones(i.shape, dtype=bool)
+        new[:, 1:] = i[:, 1:] != i[:, :-1]
+        start, sums = np.flatnonzero(new), np.bincount(np.cumsum(new) - 1, weights=x)
+        i, j = i.take(start), start // m
+        some = np.flatnonzero(i >= 0)
+        i, j, sums = i.take(some), j.take(some), sums.take(some)
+        flow += np.bincount(i, weights=sums, minlength=n)
         strong = sums**inflation
-        strong /= strong.sum(axis=1, keepdims=True)
-        strong[strong < np.minimum(prune, strong.max(axis=1, keepdims=True))] = 0
-        w = min(width, strong.shape[1])
-        top = np.argpartition(-strong, w - 1, axis=1)[:, :w] if w < strong.shape[1] else np.broadcast_to(np.arange(w), strong.shape)
-        s = np.take_along_axis(strong, top, axis=1)
-        s /= s.sum(axis=1, keepdims=True)
-        out_values[at : at + 8192, :w] = s
-        out_rows[at : at + 8192, :w] = np.where(s > 0, np.take_along_axis(i, top, axis=1), -1)
+        strong /= np.bincount(j, weights=strong).take(j)
+        least = np.minimum(prune, np.maximum.reduceat(strong, np.flatnonzero(np.diff(j, prepend=-1))))
+        some = np.flatnonzero(strong >= least.take(j))
+        i, j, strong = i.take(some), j.take(some), strong.take(some)
+        count = np.bincount(j, minlength=len(at))
+        first = np.cumsum(count) - count
+        grid = np.zeros((len(at), max(width, int(count.max()))))
+        grid[j, np.arange(len(j)) - first.take(j)] = strong
+        top = np.argpartition(-grid, width - 1, axis=1)[:, :width]
+        s = np.take_along_axis(grid, top, axis=1)
+        by = np.argsort(-s, axis=1)
+        s, top = np.take_along_axis(s, by, axis=1), np.take_along_axis(top, by, axis=1)
+        out_values[at] = s / s.sum(axis=1, keepdims=True)
+        out_rows[at] = np.where(s > 0, i.take(first[:, None] + top, mode="clip"), -1)
     return out_rows, out_values, flow
 
 
@@ -140,7 +157,7 @@ def block(n: int, a: np.ndarray, b: np.ndarray, v: np.ndarray, settings: Setting
     label, early, inflation = np.arange(n), None, settings.inflation
     nodes = np.arange(n)  # the attractor that each node of this round stands for
     while True:
-        a, b, w = np.concatenate([lo, hi]), np.concatenate([hi, lo]), np.concatenate([v, v])
+        a, b, w = np.concatenate([hi, lo]), np.concatenate([lo, hi]), np.concatenate([v, v])  # of a, b rises
         if early is None or len(a):
             to, flow = markov(len(nodes), a, b, w, settings, inflation) if inflation > 1.05 else (_strongest(len(nodes), a, b, w), np.zeros(len(nodes)))
             early = flow if early is None else early

@@ -19,6 +19,8 @@ RATIO = 16
 SCANNED = 1024
 #: Queries whose beams are widened at once.
 ROWS = 512
+#: Pairs of vectors whose products are taken at once.
+CHUNK = 1024
 
 NONE = np.float32(-2)
 
@@ -99,12 +101,15 @@ class Graph:
                 entry, sims = self._step(x, number, entry, ef)
                 mine = np.nonzero(self._members(layer, lo, hi))[0]
                 if len(mine):
-                    width = min(ef, len(mine))
-                    near = peers[np.ix_(mine, mine)]
-                    top = best(near, width)
-                    places = np.concatenate([entry[mine], (layer.n + top).astype(np.int32)], axis=1)
-                    both = np.concatenate([sims[mine], np.take_along_axis(near, top, axis=1)], axis=1)
-                    places = np.where(both > NONE, places, -1)
+                    near = peers if len(mine) == hi - lo else peers[np.ix_(mine, mine)]
+                    # a full beam takes only what is nearer than its last; pressed to the left
+                    c = np.flatnonzero(near > (sims[mine, -1:] if sims.shape[1] >= ef else NONE))
+                    r, c = c // len(mine), c % len(mine)
+                    count = np.bincount(r, minlength=len(mine))
+                    slot = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+                    own, like = np.full((len(mine), count.max()), -1, dtype=np.int32), np.full((len(mine), count.max()), NONE, dtype=np.float32)
+                    own[r, slot], like[r, slot] = layer.n + c, near[r, c]
+                    places, both = np.concatenate([entry[mine], own], axis=1), np.concatenate([sims[mine], like], axis=1)
                     top = best(both, ef)
                     places, both = np.take_along_axis(places, top, axis=1), np.take_along_axis(both, top, axis=1)
                     layer.add(places, both)
@@ -132,7 +137,7 @@ class Graph:
         b = layer.links.reshape(-1)
         keep = b >= 0
         a, b = a[keep], b[keep]
-        return self.order[a], self.order[b], np.einsum("ij,ij->i", self.vectors[a], self.vectors[b])
+        return self.order[a], self.order[b], _products(self.vectors, a, self.vectors, b)
 
     def _step(self, x: np.ndarray, number: int, entry: np.ndarray | None, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(places in the layer, similarities) of the nearest that a layer has, in falling order;
@@ -187,9 +192,9 @@ class Graph:
             fresh = np.sort(fresh, axis=1)
             ok = fresh >= 0
             ok[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]
-            r, c = np.nonzero(ok)
-            node = fresh[r, c]
-            at = active[r] * n + node
+            c = np.flatnonzero(ok)
+            r, node = c // fresh.shape[1], fresh.take(c)
+            at = active.take(r) * n + node
             keep = np.nonzero(~seen.take(at))[0]
             r, node, at = r.take(keep), node.take(keep), at.take(keep)
             seen[at] = True
@@ -199,7 +204,7 @@ class Graph:
             slot = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
             m = int(count.max()) if len(r) else 0
             if m:
-                s = np.einsum("ij,ij->i", x.take(active.take(r), axis=0), vectors.take(node if base else nodes.take(node), axis=0))
+                s = _products(x, active.take(r), vectors, node if base else nodes.take(node))
                 grid, value = np.full((len(active), m), -1, dtype=np.int32), np.full((len(active), m), NONE, dtype=np.float32)
                 grid[r, slot], value[r, slot] = node, s
                 all_sims = np.concatenate([sims[active], value], axis=1)
@@ -225,6 +230,14 @@ class Graph:
         return np.take_along_axis(beam, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
 
+def _products(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows a of x and rows b of y, so many at a time as caches hold."""
+    out = np.empty(len(a), dtype=np.float32)
+    for at in range(0, len(a), CHUNK):
+        np.einsum("ij,ij->i", x.take(a[at : at + CHUNK], axis=0), y.take(b[at : at + CHUNK], axis=0), out=out[at : at + CHUNK])
+    return out
+
+
 def _wide(a: np.ndarray, width: int, fill: float) -> np.ndarray:
     if a.shape[1] >= width:
         return a[:, :width]
