@@ -1,10 +1,13 @@
 """Names, resolutions and grids: the edges of their rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import maps, text
 from tilewright.operators import grid, metadata
+from tilewright.plans import slides as plans
 
 
 def one(spark, **columns):
@@ -110,3 +113,34 @@ def test_rectangles_touch_and_overlap(spark):
     assert areas == {(10, 10): 100, (20, 10): 4}
     assert [(r["x"], r["y"]) for r in grid.on_rectangles(g, boxes, 50).collect()] == [(10, 10)]
     assert grid.on_rectangles(g, boxes.limit(0), 25).count() == 0
+
+
+def large_joins(spark, query):
+    """The plan of a query on slides as Spark begins with it, if it may send a table to all tasks."""
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return plan if "Broadcast" in plan or "CartesianProduct" in plan else ""
+
+
+@pytest.mark.parametrize("name", ["tissue_any"])
+def test_patches_stay_in_their_tasks(spark, name):
+    assert not large_joins(spark, plans.QUERIES[name])
+
+
+def test_rectangles_over_many_tiles(spark):
+    """Against all pairs; rectangles that overlap, repeat, have no area or lie outside."""
+    rng = random.Random(5)
+    rects = {s: [(x, y, x + rng.choice((0, 3, 90, 700)), y + rng.choice((0, 5, 80, 600))) for x, y in ((rng.randint(-60, 900), rng.randint(-60, 900)) for _ in range(6))] for s in (1, 2)}
+    boxes = spark.createDataFrame([(s, i, *r) for s, rs in rects.items() for i, r in enumerate([*rs, rs[0]])], "sid long, tissue_id int, x0 long, y0 long, x1 long, y1 long")
+    g = grid.patches(slides(spark, (1, 800, 700, 0.5), (2, 650, 900, 0.5)), 20, 20, 6)
+    touched, areas = set(), {}
+    for s, ps, _, x, y in g.collect():
+        if any(x <= c and x + ps >= a and y <= d and y + ps >= b for a, b, c, d in rects[s]):
+            touched.add((s, x, y))
+        cells = {(u, v) for a, b, c, d in rects[s] for u in range(max(a, x), min(c, x + ps)) for v in range(max(b, y), min(d, y + ps))}
+        if cells:
+            areas[s, x, y] = len(cells)
+    got = [(r["sid"], r["x"], r["y"]) for r in grid.touching_rectangles(g, boxes).collect()]
+    assert len(got) == len(set(got)) and set(got) == touched
+    for percent in (0, 25):
+        got = {(r["sid"], r["x"], r["y"]): r["area"] for r in grid.on_rectangles(g, boxes, percent).collect()}
+        assert got == {k: v for k, v in areas.items() if v * 100 >= 400 * percent}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilewright.common import require
 from tilewright.operators.metadata import magnification
 
-__all__ = ["column_row", "magnification", "of_column_row", "on_rectangles", "patches", "scan_order", "sized", "touching_rectangles"]
+__all__ = ["column_row", "magnification", "of_column_row", "on_rectangles", "patches", "scan_order", "sized", "spread", "touching_rectangles"]
 
 
 def sized(slides: DataFrame, size: int = 512, target: int = 20, overlap: int = 0) -> DataFrame:
@@ -60,51 +60,74 @@ def scan_order(grid: DataFrame, order: str = "row-major") -> DataFrame:
     return grid.join(size, "sid").withColumn("patch_idx", idx).drop("__cols", "__rows")
 
 
-def _binned(grid: DataFrame, tissue: DataFrame, closed: bool, sizes: DataFrame | None) -> DataFrame:
-    """Pairs of patches and rectangles of a slide whose areas meet (or touch, if closed): an
-    equi-join on the bins of twice a patch's size that both lie in, then the exact test. A pair
-    that shares several bins comes up in the first of them only. sizes (sid, ps) are the sizes of
-    patches that the grid has; without them the grid is read once more to see."""
-    sizes = (grid if sizes is None else sizes).select("sid", "ps").distinct()
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / (F.col("ps") * 2)), F.floor(hi / (F.col("ps") * 2))))
-    boxes = tissue.select("sid", "x0", "y0", "x1", "y1").join(sizes, "sid")
-    boxes = boxes.withColumn("__bx", bins(F.col("x0"), F.col("x1"))).withColumn("__by", bins(F.col("y0"), F.col("y1")))
-    own = grid.withColumn("__bx", bins(F.col("x"), F.col("x") + F.col("ps"))).withColumn("__by", bins(F.col("y"), F.col("y") + F.col("ps")))
-    met = own.join(boxes, ["sid", "ps", "__bx", "__by"])
-    test = "x <= x1 AND x + ps >= x0 AND y <= y1 AND y + ps >= y0" if closed else "x < x1 AND x + ps > x0 AND y < y1 AND y + ps > y0"
-    first = "__bx = greatest(floor(x / (ps * 2)), floor(x0 / (ps * 2))) AND __by = greatest(floor(y / (ps * 2)), floor(y0 / (ps * 2)))"
-    return met.where(f"{test} AND {first}").drop("__bx", "__by")
+def spread(slides: DataFrame) -> DataFrame:
+    """slides dealt out to as many tasks as a shuffle has. A table of slides is small and often one
+    split, and all patches of its slides would come from one task; rows of slides are moved, not
+    patches."""
+    n = int(slides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slides.repartition(n, "sid")
+
+
+def _tiles(tissue: DataFrame, sizes: DataFrame, side: int = 16) -> DataFrame:
+    """(sid, ps, __bx, __by, __boxes): the rectangles that meet or touch a patch whose corner lies
+    in a tile of `side` x `side` patches, for each tile that has any; repeats are one."""
+    at = lambda v: F.floor(v / (F.col("ps") * side))
+    tiles = lambda lo, hi: F.explode(F.sequence(at(F.least(lo, hi) - F.col("ps")), at(F.greatest(lo, hi))))
+    boxes = tissue.select("sid", "x0", "y0", "x1", "y1").join(sizes.select("sid", "ps").distinct().hint("merge"), "sid")
+    boxes = boxes.withColumn("__bx", tiles(F.col("x0"), F.col("x1"))).withColumn("__by", tiles(F.col("y0"), F.col("y1")))
+    return boxes.groupBy("sid", "ps", "__bx", "__by").agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("__boxes"))
+
+
+def _with_boxes(grid: DataFrame, tissue: DataFrame, sizes: DataFrame | None, side: int = 16) -> DataFrame:
+    """grid with __boxes, the rectangles of its tile (see _tiles); patches of tiles without any are
+    left out. A patch is in one tile, so it is one row before and after. sizes (sid, ps) are the
+    sizes of patches that the grid has; without them the grid is read once more to see.
+
+    Spark takes a grid for as small as the table of slides that it is generated from, and would
+    send all patches to the driver and to every task; the hint keeps it from that.
+    """
+    at = lambda c: F.floor(F.col(c) / (F.col("ps") * side))
+    placed = grid.withColumn("__bx", at("x")).withColumn("__by", at("y"))
+    return placed.join(_tiles(tissue, grid if sizes is None else sizes, side).hint("merge"), ["sid", "ps", "__bx", "__by"])
 
 
 def touching_rectangles(grid: DataFrame, tissue: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The patches that meet or touch a rectangle (sid, tissue_id, x0, y0, x1, y1) of their slide;
-    sizes as in _binned()."""
-    met = _binned(grid, tissue, True, sizes)
-    return met.select(*grid.columns).distinct()
+    sizes as in _with_boxes()."""
+    right, low = F.col("x") + F.col("ps"), F.col("y") + F.col("ps")
+    meets = F.exists("__boxes", lambda r: (F.col("x") <= r["x1"]) & (right >= r["x0"]) & (F.col("y") <= r["y1"]) & (low >= r["y0"]))
+    return _with_boxes(grid, tissue, sizes).where(meets).select(*grid.columns)
 
 
 def on_rectangles(grid: DataFrame, tissue: DataFrame, percent: int, sizes: DataFrame | None = None) -> DataFrame:
     """The patches of which at least `percent` % lie on rectangles (sid, tissue_id, x0, y0, x1,
     y1) of their slide, however these overlap.
 
-    Filter: bins (see _binned). Refine: the area of the union is summed over the cells that the
-    edges of the rectangles met cut the patch into, each counted once. Rectangles of no area and
-    repeats don't matter; percent 0 keeps those that share any area.
+    Filter: tiles (see _with_boxes), then the rectangles met. Refine: the area of the union is
+    summed over the cells that the edges of the rectangles met cut the patch into, each counted
+    once. Rectangles of no area and repeats don't matter; percent 0 keeps those that share any
+    area.
     """
-    side = lambda lo, hi, p: (F.greatest(F.col(lo), F.col(p)).alias("a"), F.least(F.col(hi), F.col(p) + F.col("ps")).alias("b"))
-    met = _binned(grid, tissue, False, sizes)
-    xa, xb = side("x0", "x1", "x")
-    ya, yb = side("y0", "y1", "y")
-    boxes = met.select(*grid.columns, F.struct(xa.alias("a"), xb.alias("b"), ya.alias("c"), yb.alias("d")).alias("box"))
-    held = boxes.groupBy(*grid.columns).agg(F.collect_set("box").alias("boxes"))  # the rectangles that meet one patch
-    cuts = lambda one, two: F.array_sort(F.array_union(F.transform("boxes", lambda r: r[one]), F.transform("boxes", lambda r: r[two])))
-    strips = held.withColumn("xs", cuts("a", "b")).withColumn("ys", cuts("c", "d"))
-    cell = lambda i, j: F.exists("boxes", lambda r: (r["a"] <= F.col("xs")[i]) & (r["b"] > F.col("xs")[i]) & (r["c"] <= F.col("ys")[j]) & (r["d"] > F.col("ys")[j]))
-    column = lambda i: F.aggregate(
-        F.sequence(F.lit(0), F.size("ys") - 2), F.lit(0).cast("long"), lambda s, j: s + F.when(cell(i, j), F.col("ys")[j + 1] - F.col("ys")[j]).otherwise(F.lit(0)).cast("long")
-    )
-    area = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 2), F.lit(0).cast("long"), lambda s, i: s + column(i) * (F.col("xs")[i + 1] - F.col("xs")[i]).cast("long"))
-    return strips.withColumn("area", area).where(F.col("area") * 100 >= F.col("ps") * F.col("ps") * percent).select(*grid.columns, "area")
+    inner = lambda lo, hi, p: (F.greatest(lo, F.col(p)), F.least(hi, F.col(p) + F.col("ps")))
+
+    def cut(r: Column) -> Column:
+        (a, b), (c, d) = inner(r["x0"], r["x1"], "x"), inner(r["y0"], r["y1"], "y")
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+
+    def area(m: Column) -> Column:
+        one = lambda r: ((r["b"] - r["a"]) * (r["d"] - r["c"])).cast("long")
+        cuts = lambda u, v: F.array_sort(F.array_union(F.transform(m, lambda r: r[u]), F.transform(m, lambda r: r[v])))
+        cell = lambda s, i, j: F.exists(s["m"], lambda r: (r["a"] <= s["xs"][i]) & (r["b"] > s["xs"][i]) & (r["c"] <= s["ys"][j]) & (r["d"] > s["ys"][j]))
+        column = lambda s, i: F.aggregate(
+            F.sequence(F.lit(0), F.size(s["ys"]) - 2), F.lit(0).cast("long"), lambda t, j: t + F.when(cell(s, i, j), s["ys"][j + 1] - s["ys"][j]).otherwise(F.lit(0)).cast("long")
+        )
+        whole = lambda s: F.aggregate(F.sequence(F.lit(0), F.size(s["xs"]) - 2), F.lit(0).cast("long"), lambda t, i: t + column(s, i) * (s["xs"][i + 1] - s["xs"][i]).cast("long"))
+        many = F.transform(F.array(F.struct(m.alias("m"), cuts("a", "b").alias("xs"), cuts("c", "d").alias("ys"))), whole)[0]
+        return F.when(F.size(m) == 1, one(m[0])).when(F.size(m) > 1, many)
+
+    met = F.filter(F.transform("__boxes", cut), lambda r: (r["a"] < r["b"]) & (r["c"] < r["d"]))
+    kept = F.filter(F.transform(F.array(met), area), lambda v: v * 100 >= F.col("ps") * F.col("ps") * percent)  # in one expression, so that it is computed once
+    return _with_boxes(grid, tissue, sizes).withColumn("area", F.explode(kept)).select(*grid.columns, "area")
 
 
 def drawn(x: Column, y: Column, ps: Column, downsample: Column) -> Column:

@@ -111,7 +111,7 @@ def scan_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tissue_any(spark: SparkSession, d: str) -> DataFrame:
-    slides = _slides(spark, d)
+    slides = grid.spread(_slides(spark, d))
     return grid.touching_rectangles(grid.patches(slides), _tissue(slides), grid.sized(slides)).select("sid", "x", "y")
 
 
