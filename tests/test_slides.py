@@ -121,7 +121,7 @@ def large_joins(spark, query):
     return plan if "Broadcast" in plan or "CartesianProduct" in plan else ""
 
 
-@pytest.mark.parametrize("name", ["tissue_any", "tissue_prop", "tissue_patch_counts"])
+@pytest.mark.parametrize("name", ["tissue_any", "tissue_prop", "tissue_patch_counts", "scan_order"])
 def test_patches_stay_in_their_tasks(spark, name):
     assert not large_joins(spark, plans.QUERIES[name])
 

@@ -100,11 +100,12 @@ def col_row_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_order(spark: SparkSession, d: str) -> DataFrame:
     """How far apart patches that follow each other are, rows weighing ten times, in either order."""
-    out = None
+    slides, out = grid.spread(_slides(spark, d)), None
     for name in ("row-major", "col-major"):
-        rows = grid.scan_order(grid.patches(_slides(spark, d)), name)
-        before = rows.selectExpr("sid", "patch_idx + 1 AS patch_idx", "x AS bx", "y AS by")  # an equi-join instead of a sorted window
-        far = rows.join(before, ["sid", "patch_idx"]).groupBy("sid").agg(F.sum(F.abs(F.col("x") - F.col("bx")) + 10 * F.abs(F.col("y") - F.col("by"))).alias("distance"))
+        rows = grid.scan_order(grid.patches(slides).hint("merge"), name)
+        before = "OVER (PARTITION BY sid ORDER BY patch_idx)"  # slides are dealt out already, so no patch is moved
+        rows = rows.selectExpr("sid", "x", "y", f"lag(x) {before} AS bx", f"lag(y) {before} AS by").where("bx IS NOT NULL")
+        far = rows.groupBy("sid").agg(F.sum(F.abs(F.col("x") - F.col("bx")) + 10 * F.abs(F.col("y") - F.col("by"))).alias("distance"))
         far = far.select("sid", F.lit(name).alias("scan_order"), "distance")
         out = far if out is None else out.unionByName(far)
     return out
