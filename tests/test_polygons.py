@@ -1,5 +1,7 @@
 """Polygons against closed forms and against rectangles; contours and their filter."""
 
+import time
+
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry
 from tilewright.operators import grid, polygons
+from tilewright.plans import slides as plans
 
 L = np.array([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], float)
 TRIANGLE = np.array([(0, 0), (4, 0), (0, 4)], float)
@@ -30,6 +33,24 @@ def test_union_of_rectangles(boxes):
     assert abs(polygons.union_area(shapes, 4, 4, 16, 16) - mask.sum()) < 1e-6
 
 
+@given(st.lists(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=3, max_size=7), max_size=4), st.lists(st.tuples(*[st.integers(0, 20)] * 2), min_size=1, max_size=5))
+def test_areas_of_many_boxes(shapes, corners):
+    """At once as one by one, for rings that cross themselves and each other too."""
+    sides = [polygons.edges([np.array(r, float)]) for r in shapes]
+    boxes = np.array([(x, y, x + 7, y + 6) for x, y in corners], float)
+    assert np.allclose(polygons.union_areas(sides, boxes), [polygons.union_area(sides, *b) for b in boxes], atol=1e-6)
+
+
+def test_patches_are_cut_at_once(spark, monkeypatch):
+    """No patch alone for a few sides, no table to all tasks, and the rows of rectangles."""
+    query = plans.QUERIES["tissue_polygons"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in query._jdf.queryExecution().executedPlan().toString()
+    boxes = np.array([(x, y, x + 100, y + 100) for x in range(0, 20000, 100) for y in range(0, 1000, 100)], float)
+    began = time.process_time()
+    polygons.union_areas([polygons.edges([L * 700])], boxes)
+    assert time.process_time() - began < 0.1  # one by one takes longer
+
+
 def test_touches():
     e = [polygons.edges([TRIANGLE])]
     assert polygons.touches(e, 4, 0, 5, 1) and polygons.touches(e, 2, 2, 3, 3) and polygons.touches(e, 1, 1, 1.1, 1.1) and polygons.touches(e, -9, -9, 9, 9)

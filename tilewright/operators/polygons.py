@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tilewright.common import require
 
+#: Up to so many sides in a tile, areas of its patches are cut at once; beyond, patches see only the polygons near them.
+AT_ONCE = 64
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -58,6 +61,48 @@ def union_area(polygons: list[np.ndarray], x0: float, y0: float, x1: float, y1:
     return area
 
 
+def union_areas(polygons: list[np.ndarray], boxes: np.ndarray) -> np.ndarray:
+    """union_area() for boxes (n, 4: x0, y0, x1, y1), all of them at once: slabs of all boxes are
+    rows, sides are columns."""
+    e = np.concatenate([np.hstack([p, np.full((len(p), 1), i)]) for i, p in enumerate(polygons)]) if polygons else np.empty((0, 5))
+    e = e[(e[:, 0] != e[:, 2]) & np.isfinite(e).all(axis=1)]
+    out = np.zeros(len(boxes))
+    if not len(e) or not len(boxes):
+        return out
+    x0, y0, x1, y1 = (boxes[:, [i]] for i in range(4))
+    left, right = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+    base = e[:, 1] - slope * e[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (base[None, :] - base[:, None]) / (slope[:, None] - slope[None, :])
+        both = (cross > np.maximum(left[:, None], left[None, :])) & (cross < np.minimum(right[:, None], right[None, :]))
+        tilted = slope != 0
+        level = np.concatenate([(y - base[tilted]) / slope[tilted] for y in (y0, y1)], axis=1)
+    fixed = np.unique(np.concatenate([left, right, cross[both]]))
+    if len(boxes) > 1 and len(boxes) * (len(fixed) + level.shape[1] + 2) * len(e) > 4_000_000:  # some 100 MB
+        return np.concatenate([union_areas(polygons, part) for part in np.array_split(boxes, 2)])
+    marks = np.sort(np.concatenate([np.clip(np.broadcast_to(fixed, (len(boxes), len(fixed))), x0, x1), np.clip(level, x0, x1), x0, x1], axis=1), axis=1)
+    box, at = np.nonzero(marks[:, 1:] > marks[:, :-1])
+    a, b = marks[box, at], marks[box, at + 1]
+    m = (a + b) / 2
+    over = (left < m[:, None]) & (right > m[:, None])
+    height = np.where(over, slope * m[:, None] + base, np.inf)
+    low, high = y0[box], y1[box]
+    begins, ends = [], []
+    for i in np.unique(e[:, 4]):
+        own = e[:, 4] == i
+        ys = np.sort(height[:, own], axis=1)[:, : int(own.sum()) // 2 * 2]
+        paired = np.isfinite(ys[:, 1::2])
+        begins.append(np.where(paired, np.clip(ys[:, 0::2], low, high), high))
+        ends.append(np.where(paired, np.clip(ys[:, 1::2], low, high), high))
+    lo, hi = np.concatenate(begins, axis=1), np.concatenate(ends, axis=1)
+    order = np.argsort(lo, axis=1, kind="stable")
+    lo, hi = np.take_along_axis(lo, order, 1), np.take_along_axis(hi, order, 1)
+    top = np.maximum.accumulate(np.concatenate([low, hi], axis=1), axis=1)[:, :-1]  # what is covered up to here
+    np.add.at(out, box, (b - a) * np.maximum(0, hi - np.maximum(lo, top)).sum(axis=1))
+    return out
+
+
 def located(polygons: list[np.ndarray], boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(inside, near), for boxes (n, 4: x0, y0, x1, y1): whether a polygon holds the whole box, and
     for each polygon (columns) whether a side of it comes near the box."""
@@ -149,20 +194,21 @@ def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tol
     """
     require(grid, "sid", "ps", "x", "y")
     require(tissue, "sid", "rings")
-    side = (grid if sizes is None else sizes).groupBy("sid").agg((F.max("ps") * tile).alias("__tile"), F.max("ps").alias("__ps"))
-    at = lambda v: F.floor(v / F.col("__tile"))
-    left = grid.join(side, "sid").withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y")))
-    left = left.select(*[F.col(c).alias(c) for c in (*grid.columns, "__bx", "__by")])
+    own = (grid if sizes is None else sizes).select("sid", "ps").distinct().hint("merge")  # a grid counts as small as its slides
+    at = lambda v: F.floor(v / (F.col("ps") * tile))
+    left = grid.withColumn("__bx", at(F.col("x"))).withColumn("__by", at(F.col("y")))
     outer = F.get(F.col("rings"), F.lit(0))
     low, high = (lambda k: F.array_min(F.transform(outer, lambda p: p[k]))), (lambda k: F.array_max(F.transform(outer, lambda p: p[k])))
-    boxes = tissue.select("sid", "rings", low("x").alias("__x0"), high("x").alias("__x1"), low("y").alias("__y0"), high("y").alias("__y1")).where("__x0 IS NOT NULL").join(side, "sid")
-    spread = lambda lo, hi: F.explode(F.sequence(at(F.col(lo) - F.col("__ps")), at(F.col(hi))))
+    boxes = tissue.select("sid", "rings", low("x").alias("__x0"), high("x").alias("__x1"), low("y").alias("__y0"), high("y").alias("__y1")).where("__x0 IS NOT NULL").join(own, "sid")
+    spread = lambda lo, hi: F.explode(F.sequence(at(F.col(lo) - F.col("ps")), at(F.col(hi))))
     right = boxes.withColumn("__bx", spread("__x0", "__x1")).withColumn("__by", spread("__y0", "__y1"))
-    right = right.select(F.col("sid").alias("__sid"), F.col("__bx").alias("__cx"), F.col("__by").alias("__cy"), "rings")
+    right = right.select(F.col("sid").alias("__sid"), F.col("ps").alias("__ps"), F.col("__bx").alias("__cx"), F.col("__by").alias("__cy"), "rings")
     names = grid.columns
     schema = grid.schema
 
     def solve(patches: pa.Table, polygons: pa.Table) -> pa.Table:
+        if not polygons.num_rows or not patches.num_rows:
+            return patches.select(names).slice(0, 0)
         shapes = []
         for rings in polygons.column("rings").to_pylist():
             points = [np.array([(p["x"], p["y"]) for p in r or [] if p], dtype=float).reshape(-1, 2) for r in rings or []]
@@ -170,12 +216,17 @@ def on_polygons(grid: DataFrame, tissue: DataFrame, threshold: float = 0.15, tol
         ps, x, y = (patches.column(c).to_numpy().astype(float) for c in ("ps", "x", "y"))
         boxes = np.stack([x, y, x + ps, y + ps], axis=1).reshape(-1, 4)
         keep, near = located(shapes, boxes)
-        for i in np.nonzero(~keep & near.any(axis=1))[0]:
+        open_ = np.nonzero(~keep & near.any(axis=1))[0]
+        least = threshold * ps * ps * (1 - 1e-12)
+        if threshold > 0 and sum(map(len, shapes)) <= AT_ONCE:
+            keep[open_] = union_areas(shapes, boxes[open_]) >= least[open_]
+            open_ = open_[:0]
+        for i in open_:
             own = [shapes[p] for p in np.nonzero(near[i])[0]]
-            keep[i] = touches(own, *boxes[i]) if threshold <= 0 else union_area(own, *boxes[i]) >= threshold * ps[i] * ps[i] * (1 - 1e-12)
+            keep[i] = touches(own, *boxes[i]) if threshold <= 0 else union_area(own, *boxes[i]) >= least[i]
         return patches.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return left.groupBy("sid", "__bx", "__by").cogroup(right.groupBy("__sid", "__cx", "__cy")).applyInArrow(solve, schema)
+    return left.groupBy("sid", "ps", "__bx", "__by").cogroup(right.groupBy("__sid", "__ps", "__cx", "__cy")).applyInArrow(solve, schema)
 
 
 def filtered_contours(contours: DataFrame, least_area: float, least_hole: float, most_holes: int) -> DataFrame:
