@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,45 @@ def accumulated(tiles: DataFrame, width: int | None = None, height: int | None =
     return cells.groupBy("sid", "mx", "my").agg(F.count_if(F.col("label") > 0).alias("hits"), F.max("label").alias("label"))
 
 
+#: Cells of a mask's row that one number holds.
+WORD = 32
+
+
+def covered(tiles: DataFrame, width: int, height: int) -> DataFrame:
+    """(sid, my, word, bits): the cells of width x height that tiles (sid, x, y, side, label) whose
+    label is above 0 cover, those of accumulated() with hits; bit i of `bits` is the cell
+    mx = word * WORD + i of row my. A tile is one row for each row of the mask it covers, not for
+    each cell, and only words are shuffled."""
+    require(tiles, "sid", "x", "y", "side", "label")
+    cut = tiles.where("side > 0 AND label > 0").selectExpr(
+        "sid", "CAST(greatest(x, 0) AS BIGINT) AS x0", f"CAST(least(x + side, {width}) - 1 AS BIGINT) AS x1", "CAST(greatest(y, 0) AS BIGINT) AS y0", f"CAST(least(y + side, {height}) - 1 AS BIGINT) AS y1"
+    )
+    rows = cut.where("x0 <= x1 AND y0 <= y1").withColumn("my", F.explode(F.expr("sequence(y0, y1)")))
+    if width > WORD:
+        rows = rows.withColumn("word", F.explode(F.expr(f"sequence(x0 div {WORD}, x1 div {WORD})")))
+    else:
+        rows = rows.withColumn("word", F.lit(0).cast("bigint"))
+    first, last = f"CAST(greatest(x0 - word * {WORD}, 0) AS INT)", f"CAST(least(x1 - word * {WORD}, {WORD - 1}) AS INT)"
+    bits = F.expr(f"shiftleft(1L, {last} + 1) - shiftleft(1L, {first})")
+    return rows.select("sid", "my", "word", bits.alias("bits")).groupBy("sid", "my", "word").agg(F.expr("bit_or(bits)").alias("bits"))
+
+
+def drawn(rows: DataFrame, width: int, height: int, scale: float = 1.0) -> DataFrame:
+    """(sid, h, w, scale, mask) of rows as covered() gives them: masks of height x width labels,
+    0 and 1, for mask_polygons()."""
+    across = -(-width // WORD)
+    packed = rows.groupBy("sid").agg(F.collect_list(F.struct((F.col("my") * across + F.col("word")).cast("int").alias("at"), "bits")).alias("rows"))
+
+    @F.pandas_udf("binary")
+    def mask(at: pd.Series, bits: pd.Series) -> pd.Series:
+        words = np.zeros((len(at), height * across), dtype="<u4")
+        words[np.repeat(np.arange(len(at)), at.map(len)), np.concatenate(at.to_numpy())] = np.concatenate(bits.to_numpy())
+        cells = np.unpackbits(words.view(np.uint8), bitorder="little").reshape(len(at), height, across * WORD)[:, :, :width]
+        return pd.Series([c.tobytes() for c in cells])
+
+    return packed.select("sid", F.lit(height).alias("h"), F.lit(width).alias("w"), F.lit(scale).alias("scale"), mask(F.col("rows.at"), F.col("rows.bits")).alias("mask"))
+
+
 def binarised(label: Column) -> Column:
     return F.when(label > 0, 255).otherwise(0)
 
@@ -153,45 +193,89 @@ def tissue(tile: np.ndarray) -> np.ndarray:
 
 def contours(mask: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """(outer ring, rings of holes) of each component, along the edges of pixels, as corners."""
-    label, n = components(mask)
-    out = []
-    for i in range(1, n + 1):
-        rings = _rings(label == i)
-        size = [abs((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()) for r in rings]
-        outer = int(np.argmax(size))
-        out.append((rings[outer], [r for j, r in enumerate(rings) if j != outer]))
-    return out
-
-
-def _rings(mask: np.ndarray) -> list[np.ndarray]:
-    """Closed walks along the edges between a mask and its outside, the mask on the right."""
-    m = np.pad(mask, 1)
-    step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for (dy, dx), (a, b) in (((-1, 0), ((0, 0), (1, 0))), ((0, 1), ((1, 0), (1, 1))), ((1, 0), ((1, 1), (0, 1))), ((0, -1), ((0, 1), (0, 0)))):
-        ys, xs = np.nonzero(m & ~np.roll(m, (-dy, -dx), axis=(0, 1)))
-        for y, x in zip((ys - 1).tolist(), (xs - 1).tolist()):
-            step.setdefault((x + a[0], y + a[1]), []).append((x + b[0], y + b[1]))
-    rings = []
-    while step:
-        start = next(iter(step))
-        at, before, ring = start, None, []
-        while True:
-            nexts = step[at]
-            if before is not None and len(nexts) > 1:  # keep to the own side where two corners meet
-                d = (at[0] - before[0], at[1] - before[1])
-                nexts.sort(key=lambda p: d[0] * (p[1] - at[1]) - d[1] * (p[0] - at[0]))
-                to = nexts.pop()
-            else:
-                to = nexts.pop()
-            if not nexts:
-                del step[at]
-            if before is None or (at[0] - before[0], at[1] - before[1]) != (to[0] - at[0], to[1] - at[1]):
-                ring.append(at)
-            before, at = at, to
-            if at == start:
-                break
-        rings.append(np.array(ring))
-    return rings
+    corners, ends, _, parts = _outlines(mask)
+    ring = lambda i: corners[ends[i] : ends[i + 1]]
+    return [(ring(outer), [ring(i) for i in holes]) for outer, *holes in parts]
+
+
+def _runs(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, end) of the runs of set cells in rows, in their order."""
+    width = cells.shape[1] + 1  # with a free column, so that no run goes on in the next row
+    steps = np.diff(np.pad(cells, ((0, 0), (0, 1))).reshape(-1).view(np.int8), prepend=0)
+    row, first = np.divmod(np.nonzero(steps == 1)[0], width)
+    return row, first, np.nonzero(steps == -1)[0] - row * width
+
+
+def _outlines(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """(corners (n, 2: x, y) of all rings, where each ring begins and the last ends, area of each
+    ring, rings of each component: the outer, then its holes). Components follow each other by
+    their first pixel. Rings are walks along the edges of pixels, the mask on the right; where
+    two corners of the mask meet, a walk keeps to the own side."""
+    height, width = mask.shape[0], mask.shape[1] + 1
+    m = np.pad(mask.astype(bool), 1)
+    inside = np.ascontiguousarray(m[1:-1, 1:-1])
+    sides = []  # straight ways right, down, left and up: way, corner where it begins, corner where it ends
+    for way, (dx, dy) in enumerate(((0, -1), (1, 0), (0, 1), (-1, 0))):
+        edge = inside & ~m[1 + dy : height + 1 + dy, 1 + dx : width + dx]
+        line, lo, hi = _runs(np.ascontiguousarray(edge if way % 2 == 0 else edge.T))
+        line = line + (way in (1, 2))
+        at = (lambda v, line=line: line * width + v) if way % 2 == 0 else (lambda v, line=line: v * width + line)
+        begin, end = (at(lo), at(hi)) if way < 2 else (at(hi), at(lo))
+        sides.append((np.full(len(line), way), begin, end))
+    way, begin, end = (np.concatenate(x) for x in zip(*sides))
+    if not len(way):
+        return np.empty((0, 2), int), np.zeros(1, int), np.empty(0), []
+    keys = way * ((height + 1) * width) + begin
+    order = np.argsort(keys)
+    ranked = keys[order]
+
+    def starting(turn: int) -> np.ndarray:
+        key = (way + turn) % 4 * ((height + 1) * width) + end
+        i = np.minimum(np.searchsorted(ranked, key), len(ranked) - 1)
+        return np.where(ranked[i] == key, order[i], -1)
+
+    right = starting(1)
+    after = np.where(right >= 0, right, starting(3)).tolist()
+    seen, walk, firsts, heads = bytearray(len(after)), [], [], []
+    for s in range(len(sides[0][0])):  # each ring has a way to the right
+        if not seen[s]:
+            firsts.append(len(walk))
+            heads.append(s)
+            while not seen[s]:
+                seen[s] = 1
+                walk.append(s)
+                s = after[s]
+    corners = np.stack([begin[walk] % width, begin[walk] // width], axis=1)
+    ends = np.array([*firsts, len(walk)])
+    following = np.arange(1, len(walk) + 1)
+    following[ends[1:] - 1] = ends[:-1]
+    area = np.abs(np.add.reduceat(corners[:, 0] * corners[following, 1] - corners[following, 0] * corners[:, 1], ends[:-1])) / 2
+
+    row, lo, hi = _runs(inside)
+    starts, stops = row * width + lo, row * width + hi
+    one, two = np.searchsorted(stops, starts - width, side="right"), np.searchsorted(starts, stops - width, side="left")
+    n = np.maximum(0, two - one)  # runs in the row above that share a column
+    below = np.repeat(np.arange(len(starts)), n)
+    above = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + one[below]
+    parent = list(range(len(starts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(above.tolist(), below.tolist()):
+        i, j = root(i), root(j)
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+    own = np.searchsorted(starts, begin[heads], side="right") - 1  # the run below the first way of each ring
+    parts: dict[int, list[int]] = {}
+    for ring, run in enumerate(own.tolist()):
+        parts.setdefault(root(run), []).append(ring)
+    for rings in parts.values():
+        rings.insert(0, rings.pop(int(np.argmax(area[rings])) if len(rings) > 1 else 0))
+    return corners, ends, area, [parts[i] for i in sorted(parts)]
 
 
 TILE = "sid string, x bigint, y bigint, tissue_pixels bigint, n_regions int"
@@ -218,6 +302,8 @@ def segmented(tiles: DataFrame, segment: Callable[[np.ndarray], np.ndarray] = ti
     return rows.mapInArrow(run, TILE)
 
 
+#: Cells of masks that are traced at once.
+STACKED = 500_000
 POLYGONS = "sid string, label int, tissue_id int, rings array<array<struct<x:double,y:double>>>"
 
 
@@ -231,21 +317,43 @@ def mask_polygons(masks: DataFrame, least_area: float = 0, least_hole: float = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sids, heights, widths, scales, given = (c.to_pylist() for c in batch.columns)
+            alike: dict[tuple[int, int], list[int]] = {}
+            for i, (h, w, m) in enumerate(zip(heights, widths, given)):
+                if m is not None and h and w and len(m) == h * w:
+                    alike.setdefault((h, w), []).append(i)
             out: list[tuple] = []
-            for sid, h, w, scale, m in zip(*(c.to_pylist() for c in batch.columns)):
-                if m is None or not h or not w or len(m) != h * w:
+            for (h, w), rows in alike.items():
+                most = max(1, STACKED // (h * w))
+                for k in range(0, len(rows), most):
+                    out += shapes(h, w, rows[k : k + most], scales, given)
+            out.sort(key=lambda o: o[:2])
+            ids, before = [], None
+            for i, *_ in out:
+                ids.append(ids[-1] + 1 if i == before else 0)
+                before = i
+            rings = [r for o in out for r in o[2]]
+            points = np.concatenate(rings) if rings else np.empty((0, 2))
+            ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["x", "y"])
+            nested = pa.ListArray.from_arrays(ends([len(o[2]) for o in out]), pa.ListArray.from_arrays(ends([len(r) for r in rings]), flat))
+            yield pa.record_batch([pa.array([sids[o[0]] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array(ids, pa.int32()), nested], names=["sid", "label", "tissue_id", "rings"])
+
+    def shapes(h: int, w: int, rows: list[int], scales: list, given: list) -> list[tuple]:
+        """(row, label, rings) of masks of one size, traced as one mask, one below the other."""
+        labels, out = np.frombuffer(b"".join(given[i] for i in rows), dtype=np.uint8).reshape(-1, h, w), []
+        scale = np.array([scales[i] for i in rows], dtype=float)
+        for value in np.unique(labels[labels > 0]).tolist():
+            corners, ends, area, parts = _outlines(np.pad(labels == value, ((0, 0), (0, 1), (0, 0))).reshape(-1, w))
+            at = corners[ends[:-1], 1] // (h + 1)  # a ring begins above a cell of its mask
+            each = np.repeat(at, np.diff(ends))
+            points = np.trunc((corners - np.stack([0 * each, each * (h + 1)], axis=1)) * scale[each, None])
+            for outer, *holes in parts:
+                if area[outer] - sum(area[i] for i in holes) <= least_area:
                     continue
-                labels, n = np.frombuffer(m, dtype=np.uint8).reshape(h, w), 0
-                for value in np.unique(labels[labels > 0]).tolist():
-                    for outer, holes in contours(labels == value):
-                        size = lambda r: abs((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()) / 2
-                        if size(outer) - sum(map(size, holes)) <= least_area:
-                            continue
-                        kept = sorted((r for r in holes if size(r) > least_hole), key=size, reverse=True)[:most_holes]
-                        out.append((sid, value, n, [[{"x": float(int(x * scale)), "y": float(int(y * scale))} for x, y in r] for r in (outer, *kept)]))
-                        n += 1
-            kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), kind))], names=["sid", "label", "tissue_id", "rings"])
+                kept = sorted((i for i in holes if area[i] > least_hole), key=lambda i: -area[i])[:most_holes]
+                out.append((rows[at[outer]], value, [points[ends[i] : ends[i + 1]] for i in (outer, *kept)]))
+        return out
 
     rows = masks.select(F.col("sid").cast("string"), F.col("h").cast("int"), F.col("w").cast("int"), F.col("scale").cast("double"), "mask")
     return rows.mapInArrow(run, POLYGONS)

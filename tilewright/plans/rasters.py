@@ -53,17 +53,8 @@ def tile_tissue(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Masks of slides from lineitem's tiles to polygons, with their net area."""
-    cells = raster.accumulated(_tiles(spark, d), 40, 40).where("hits > 0").groupBy("sid").agg(F.collect_list(F.struct("mx", "my")).alias("cells"))
-
-    @F.udf("binary", useArrow=True)
-    def drawn(cells: list) -> bytes:
-        out = bytearray(1600)
-        for c in cells:
-            out[c["my"] * 40 + c["mx"]] = 1
-        return bytes(out)
-
-    masks = cells.select("sid", F.lit(40).alias("h"), F.lit(40).alias("w"), F.lit(10.0).alias("scale"), drawn("cells").alias("mask"))
-    shapes = raster.mask_polygons(masks)
+    masks = raster.drawn(raster.covered(_tiles(spark, d), 40, 40), 40, 40, 10.0)
+    shapes = raster.mask_polygons(masks, most_holes=1600)  # all there can be
     holes = F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0)))
     return shapes.groupBy("sid").agg(F.sum(geometry.net_area(F.col("rings")[0], holes)).cast("long").alias("area"))
 
